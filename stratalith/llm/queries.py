@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
-from . import decontaminate, language_id, quality_rules
+from . import decontaminate, language_id, quality_fm, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,8 +28,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_robust_outliers, op5_language_id, op6_decontaminate)}
+    return {f.__name__: f for f in (op1_robust_outliers, op5_language_id, op6_decontaminate, op9_factorisation_machine)}
 
 
 def oracle_sql() -> dict[str, str]:
