@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
-from . import decontaminate, language_id, packing, quality_fm, quality_rules
+from . import decontaminate, language_id, packing, quality_fm, quality_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_read(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_robust_outliers, op3_best_fit_packing, op5_language_id, op6_decontaminate, op9_factorisation_machine)}
+    return {f.__name__: f for f in (op1_robust_outliers, op3_best_fit_packing, op4_warc_chunks, op5_language_id, op6_decontaminate, op9_factorisation_machine)}
 
 
 def oracle_sql() -> dict[str, str]:
