@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
-from . import decontaminate, language_id, packing, quality_fm, quality_rules, warc
+from . import decontaminate, html_extract, language_id, packing, quality_fm, quality_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,12 +36,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op8_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_robust_outliers, op3_best_fit_packing, op4_warc_chunks, op5_language_id, op6_decontaminate, op9_factorisation_machine)}
+    return {f.__name__: f for f in (op1_robust_outliers, op3_best_fit_packing, op4_warc_chunks, op5_language_id, op6_decontaminate, op8_html_templates, op9_factorisation_machine)}
 
 
 def oracle_sql() -> dict[str, str]:
