@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
-from . import decontaminate, html_extract, language_id, packing, quality_fm, quality_rules, warc
+from . import decontaminate, html_extract, language_id, masked_lm, packing, quality_fm, quality_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,8 +44,12 @@ def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_robust_outliers, op3_best_fit_packing, op4_warc_chunks, op5_language_id, op6_decontaminate, op8_html_templates, op9_factorisation_machine)}
+    return {f.__name__: f for f in (op1_robust_outliers, op3_best_fit_packing, op4_warc_chunks, op5_language_id, op6_decontaminate, op8_html_templates, op9_factorisation_machine, op10_masked_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
