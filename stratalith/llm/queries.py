@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
-from . import decontaminate, html_extract, language_id, masked_lm, ngram_join, packing, quality_fm, quality_rules, warc
+from . import decontaminate, html_extract, language_id, masked_lm, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_robust_outliers, op3_best_fit_packing, op4_warc_chunks, op5_language_id, op6_decontaminate, op7_partenum_join, op8_html_templates, op9_factorisation_machine, op10_masked_lm)}
+    return {f.__name__: f for f in (op1_robust_outliers, op2_suffix_dedup, op3_best_fit_packing, op4_warc_chunks, op5_language_id, op6_decontaminate, op7_partenum_join, op8_html_templates, op9_factorisation_machine, op10_masked_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
