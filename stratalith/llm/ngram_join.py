@@ -8,7 +8,10 @@ be that large, for the next. Within a band, sets with Jaccard similarity of at l
 threshold differ in at most k features. The feature domain is parted into n1 parts and
 each of those into n2; by pigeonhole one part has at most k2 of the differences, so some
 n2 - k2 of its sub-parts agree. Every subset of n2 - k2 sub-parts of every part is a
-signature: similar sets share at least one, whatever the data.
+signature: similar sets share at least one, whatever the data. Where a subset is a single
+sub-part there are more sub-parts than the k + 1 that are needed, and a set signs only those
+with at least t features, for the largest t that leaves k + 1: of two similar sets, the one
+with the larger t has one among them that agrees, and the other signs that too.
 
 Candidates. Representatives are dealt by signature and stream through their buckets in
 order; equal buckets are kept once. Each bucket first checks its members against its least
@@ -38,6 +41,10 @@ from . import components, storage, textkit as tk
 WORDS, PERCENT = 3, 90
 #: Ratio of the largest to the least size of a band.
 BAND = 1.5
+#: Parts beyond the k + 1 that the pigeonhole needs, so that light parts need no signature.
+SPARE = 1.25
+#: Bits of a parity sketch.
+SKETCH = 1024
 #: Members of a block of a bucket that is checked exhaustively.
 BLOCK = 256
 #: Candidate ids that are broadcast to the documents; beyond that they are joined by a shuffle.
@@ -55,12 +62,14 @@ def bands(largest: int, band: float = BAND) -> list[tuple[int, int]]:
     return out
 
 
-def scheme(high: int, percent: int) -> tuple[int, int, int]:
-    """n1, n2, k2 of a band whose largest size is ``high``."""
+def scheme(high: int, percent: int) -> tuple[int, int, int, int]:
+    """n1, n2, k2 and k of a band whose largest size is ``high``."""
     k = 2 * high * (100 - percent) // (100 + percent)
     if k <= 2:
-        return 1, k + 2 if k else 1, k
-    return -(-(k + 1) // 2), 3 if k < 8 else 2, 1
+        return 1, k + 2 if k else 1, k, k
+    if k < 8:
+        return -(-(k + 1) // 2), 3, 1, k
+    return -(-int(SPARE * (k + 1)) // 2), 2, 1, k
 
 
 def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,21 +110,30 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, percent: int, band: float
             signs = np.flatnonzero((size > 0) & (np.array([limits[min(b, len(limits) - 1)][0] for b in which]) * percent <= size * 100 if step else size > 0))
             for b in np.unique(which[signs]):
                 rows = signs[which[signs] == b]
-                n1, n2, k2 = scheme(limits[b][1], percent)
+                n1, n2, k2, k = scheme(limits[b][1], percent)
                 per = size[rows]
                 pick = np.repeat(bounds[rows] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())
                 g = grams[pick]
                 part = (((g >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
+                spot = np.repeat(np.arange(len(rows)), per) * (n1 * n2) + part
                 sums = np.zeros(len(rows) * n1 * n2, np.uint64)
-                np.add.at(sums, np.repeat(np.arange(len(rows)), per) * (n1 * n2) + part, mixed[pick])
+                np.add.at(sums, spot, mixed[pick])
                 sums = sums.reshape(len(rows), n1, n2)
+                held = np.bincount(spot, minlength=sums.size).reshape(len(rows), n1, n2)
+                if n2 - k2 == 1 and n2 > 1:
+                    heaviest = -np.partition(-held.reshape(len(rows), -1), k, axis=1)[:, k]  # k + 1 parts hold as many
+                else:
+                    heaviest = np.zeros(len(rows), np.int64)
                 for number, subset in enumerate(combinations(range(n2), n2 - k2)):
                     s = np.full((len(rows), n1), np.uint64(int(b) + 1)) * _BAND
+                    weight = np.zeros((len(rows), n1), np.int64)
                     for j in subset:
                         s = tk.mix(s + sums[:, :, j] + np.uint64(j + 1) * _SUBSET)
+                        weight += held[:, :, j]
                     s = tk.mix(s + (np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(number)) * _SUBSET)
-                    found_rows.append(np.repeat(rows, n1))
-                    found.append(s.ravel())
+                    of, at = np.nonzero(weight >= heaviest[:, None])
+                    found_rows.append(rows[of])
+                    found.append(s[of, at])
     if not found:
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
     rows, out = np.concatenate(found_rows), np.concatenate(found)
@@ -131,8 +149,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sign(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (fingerprints of the whole set) and the signatures of every row."""
+def measure(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, s1, s2 (fingerprints of the whole set) of every row."""
 
     def f(batch):
         grams, bounds = shingles(batch.column(1), words)
@@ -141,10 +159,23 @@ def sign(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for salt in (1, 2):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(grams * np.uint64(2) + np.uint64(salt)), dtype=np.uint64)])
                 sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "n", "s1", "s2"])
+
+    return tk.map_texts(_texts(docs), "doc_id long, n long, s1 long, s2 long", f, ["doc_id", "text"])
+
+
+def sign(docs: DataFrame, copies: DataFrame, words: int, percent: int) -> DataFrame:
+    """sig, doc: the signatures of all rows but copies (_doc), whose sets others stand for."""
+    if copies.count() <= MOST_SENT:
+        copies = F.broadcast(copies)
+    rows = _texts(docs).where("doc_id is not null").join(copies, F.col("doc_id") == F.col("_doc"), "left_anti")
+
+    def f(batch):
+        grams, bounds = shingles(batch.column(1), words)
         found, cuts = signatures(grams, bounds, percent)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(sums[0]), pa.array(sums[1]), _lists(found, cuts)], ["doc_id", "n", "s1", "s2", "sigs"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(cuts)))], ["sig", "doc"])
 
-    return tk.map_texts(_texts(docs), "doc_id long, n long, s1 long, s2 long, sigs array<long>", f, ["doc_id", "text"])
+    return tk.map_texts(rows, "sig long, doc long", f, ["doc_id", "text"])
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
@@ -156,6 +187,9 @@ def _buckets(signed: DataFrame) -> DataFrame:
 
         def out(sig, doc):
             """The buckets of complete runs."""
+            once = np.ones(len(sig), bool)
+            once[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+            sig, doc = sig[once], doc[once]
             head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             size = np.diff(np.append(head, len(sig)))
             many = size > 1
@@ -187,12 +221,12 @@ def _buckets(signed: DataFrame) -> DataFrame:
         if len(kept_sig) and (rows := out(kept_sig, kept_doc)) is not None:
             yield rows
 
-    dealt = signed.select(F.explode("sigs").alias("sig"), "doc").repartition("sig").sortWithinPartitions("sig", "doc")
+    dealt = signed.repartition("sig").sortWithinPartitions("sig", "doc")
     return dealt.mapInArrow(f, "bucket long, doc long, center long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc, grams: the sets of the wanted ids."""
+    """doc, grams, sketch: the sets of the wanted ids, and the parity of their features in SKETCH buckets."""
     ids = wanted.select(F.col("doc").alias("_doc"))
     if ids.count() <= MOST_SENT:
         ids = F.broadcast(ids)
@@ -200,20 +234,47 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def f(batch):
         grams, bounds = shingles(batch.column(1), words)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(grams, bounds)], ["doc", "grams"])
+        n = batch.num_rows
+        spot = np.repeat(np.arange(n), np.diff(bounds)) * SKETCH + (grams % np.uint64(SKETCH)).astype(np.int64)
+        bits = np.packbits((np.bincount(spot, minlength=n * SKETCH) & 1).astype(bool).reshape(n, SKETCH), axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(grams, bounds), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc", "grams", "sketch"])
+
+    return tk.map_texts(rows, "doc long, grams array<long>, sketch binary", f, ["doc_id", "text"])
 
-    return tk.map_texts(rows, "doc long, grams array<long>", f, ["doc_id", "text"]).dropDuplicates(["doc"])
+
+def near(first: np.ndarray, second: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether parity sketches and sizes leave room for the threshold: sets differ in no fewer features than sketches in bits."""
+    apart = np.bitwise_count(first ^ second).sum(-1, dtype=np.int64)
+    room = (na + nb) * (100 - percent) >= apart * (100 + percent)
+    return room & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return tk.strings(column)[0].view(np.uint64).reshape(-1, SKETCH // 64)
+
+
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sketches and sizes do not rule out."""
+    one = sets.select(F.col("doc").alias("_a"), F.size("grams").alias("na"), F.col("sketch").alias("ka"))
+    two = sets.select(F.col("doc").alias("_b"), F.size("grams").alias("nb"), F.col("sketch").alias("kb"))
+
+    def f(batches):
+        for b in batches:
+            if b.num_rows:
+                keep = near(_sketches(b.column(4)), _sketches(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
+
+    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+    return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(f, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     left = sets.select(F.col("doc").alias("_a"), F.col("grams").alias("_ga"))
     right = sets.select(F.col("doc").alias("_b"), F.col("grams").alias("_gb"))
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    small = F.least(F.size("_ga"), F.size("_gb"))
-    large = F.greatest(F.size("_ga"), F.size("_gb"))
+    both = _close(pairs, sets, percent).join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
     shared = F.size(F.array_intersect("_ga", "_gb"))
-    return both.where(small * 100 >= large * percent).where(shared * 100 >= (F.size("_ga") + F.size("_gb") - shared) * percent).select("a", "b")
+    return both.where(shared * 100 >= (F.size("_ga") + F.size("_gb") - shared) * percent).select("a", "b")
 
 
 def matches(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> np.ndarray:
@@ -243,7 +304,43 @@ def _exhausted(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # a row goes to the block pairs (i, j), i <= j, of which its block is one
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
     dealt = rows.withColumn("p", F.explode(pairs)).select("bucket", "p.i", "p.j", "mine", "doc", "comp")
-    full = dealt.join(sets.select(F.col("doc").alias("_d"), "grams"), F.col("doc") == F.col("_d")).select("bucket", "i", "j", "mine", "doc", "comp", "grams")
+    light = sets.select(F.col("doc").alias("_d"), F.size("grams").alias("size"), "sketch")
+    sketched = dealt.join(light, F.col("doc") == F.col("_d")).select("bucket", "i", "j", "mine", "doc", "comp", "size", "sketch")
+
+    def filter_(batches):
+        """The rows of each block pair that sketches leave with a partner in another component."""
+        group, key = [], None
+
+        def out():
+            mine, doc, comp, size = (np.array([r[c] for r in group]) for c in range(4))
+            bits = np.stack([r[4] for r in group])
+            one = np.flatnonzero(mine == key[1])
+            two = one if key[1] == key[2] else np.flatnonzero(mine == key[2])
+            left = np.zeros(len(group), bool)
+            for x in one.tolist():
+                hit = two[near(bits[two], bits[x], size[two], size[x], percent) & (comp[two] != comp[x])]
+                left[hit] = True
+                left[x] |= len(hit) > 0
+            at = np.flatnonzero(left)
+            keys = [pa.array([k] * len(at), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(mine[at].astype(np.int32)), pa.array(doc[at]), pa.array(comp[at])], ["bucket", "i", "j", "mine", "doc", "comp"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head, bits = list(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True)), _sketches(batch.column(7))
+            for (bucket, i, j, mine, doc, comp, size), sketch in zip(head, bits, strict=True):
+                if (bucket, i, j) != key:
+                    if group:
+                        yield out()
+                    group, key = [], (bucket, i, j)
+                group.append((mine, doc, comp, size, sketch))
+        if group:
+            yield out()
+
+    schema = "bucket long, i int, j int, mine int, doc long, comp long"
+    left = sketched.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc").mapInArrow(filter_, schema)
+    full = left.join(sets.select(F.col("doc").alias("_d"), "grams"), F.col("doc") == F.col("_d")).select("bucket", "i", "j", "mine", "doc", "comp", "grams")
     ordered = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
 
     def f(batches):
@@ -276,11 +373,15 @@ def _exhausted(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_class (rows with an equal set): one row per input row."""
-    signed = storage.store(sign(docs, words, percent), "signed")
+    signed = storage.store(measure(docs, words), "measured")
     sets_of = signed.where("n > 0 and doc_id is not null")
-    classes = storage.store(sets_of.groupBy("n", "s1", "s2").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "sigs")).alias("top"), F.count("*").alias("size")).select("n", "s1", "s2", "size", "top.doc", "top.sigs"), "classes")
-    buckets = storage.store(_buckets(classes.select("doc", "sigs")), "buckets")
-    sets = storage.store(_sets(docs, buckets.select("doc").distinct(), words), "sets")
+    classes = storage.store(sets_of.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.count("*").alias("size")), "classes")
+    several = classes.where("doc < last").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "doc")
+    copies = sets_of.join(several, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))).where("doc_id <> doc").select(F.col("doc_id").alias("_doc"))
+    copies = storage.store(copies.distinct(), "copies")
+    buckets = storage.store(_buckets(sign(docs, copies, words, percent)), "buckets")
+    docs.sparkSession._jvm.System.gc()  # the cleaner drops the shuffle files of signatures
+    sets = storage.store(_sets(docs, buckets.select("doc").distinct(), words).dropDuplicates(["doc"]), "sets")
     pairs = buckets.where("doc <> center").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
     links = storage.store(_verified(pairs, sets, percent), "verified")
     found = components.connected(links)
