@@ -24,9 +24,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from . import catalog_queries, content_queries, integrity_queries, lab_queries, salvage_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
