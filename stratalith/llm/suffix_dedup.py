@@ -44,8 +44,6 @@ LENGTH, ANCHOR = 100, 24
 MOST_CONTEXTS = 100_000
 #: Contexts of a task, about.
 TASK_CONTEXTS = 50_000
-#: Rows of a side table that are broadcast, at most; beyond that texts are shuffled to it.
-MOST_SENT = 4_000_000
 _PAD = 0xFF  # stands in no UTF-8 text
 _MOST = np.uint64((1 << 64) - 1)
 
@@ -161,12 +159,7 @@ def sift(found: DataFrame, most: int) -> DataFrame:
     return dealt.mapInArrow(f, "kind int, doc long, at int")
 
 
-def _beside(docs: DataFrame, side: DataFrame, rows: int) -> DataFrame:
-    """docs with a side table (_doc, ...) of ``rows`` entries, sent whole only if it is small."""
-    return docs.join(F.broadcast(side) if rows <= MOST_SENT else side, F.col("doc_id") == F.col("_doc"))
-
-
-def cut_contexts(docs: DataFrame, wanted: DataFrame, rows: int, length: int, k: int) -> DataFrame:
+def cut_contexts(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
     """anchor, doc, at, context: the bytes around the wanted places, padded to one width beyond the text."""
     reach = length - k
     width = reach + length
@@ -189,7 +182,8 @@ def cut_contexts(docs: DataFrame, wanted: DataFrame, rows: int, length: int, k:
             body = pa.Array.from_buffers(pa.binary(), len(m), [None, cuts.buffers()[1], pa.py_buffer(np.ascontiguousarray(m))])
             yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(doc[part]), pa.array(at[part].astype(np.int32)), body], ["anchor", "doc", "at", "context"])
 
-    return tk.map_texts(_beside(_texts(docs), side, rows), "anchor long, doc long, at int, context binary", f, ["doc_id", "ats", "text"])
+    # neither side has a bound: texts are dealt by id, at every size
+    return tk.map_texts(_texts(docs).join(side, F.col("doc_id") == F.col("_doc")), "anchor long, doc long, at int, context binary", f, ["doc_id", "ats", "text"])
 
 
 class _Least:
@@ -342,10 +336,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most:
     kinds = {r["kind"]: r["count"] for r in sifted.groupBy("kind").count().collect()}
     runs = sifted.where(F.col("kind") == _COPY).select("doc", (F.col("at") - (length - k)).cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b"))
     if n := kinds.get(_MERGE, 0):
-        contexts = cut_contexts(docs, sifted.where(F.col("kind") == _MERGE), n, length, k)
+        contexts = cut_contexts(docs, sifted.where(F.col("kind") == _MERGE), length, k)
         runs = runs.unionByName(storage.store(merge_contexts(contexts, n, length, k), "merged"))
-    if n := kinds.get(_DEAL, 0):
-        strings = storage.store(deal_strings(cut_contexts(docs, sifted.where(F.col("kind") == _DEAL), n, length, k), length, k), "strings")
+    if kinds.get(_DEAL, 0):
+        strings = storage.store(deal_strings(cut_contexts(docs, sifted.where(F.col("kind") == _DEAL), length, k), length, k), "strings")
         least = strings.where("string is not null").groupBy(F.col("string").alias("_s")).agg(F.min(F.struct("doc", "a")).alias("top"))
         late = strings.where("string is not null").join(least, F.col("string") == F.col("_s")).where((F.col("doc") != F.col("top.doc")) | (F.col("a") != F.col("top.a")))
         marked = strings.where("string is null").select("doc", "a").unionByName(late.select("doc", "a"))
@@ -358,13 +352,13 @@ def _collect_garbage(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def _spans(docs: DataFrame, **how) -> tuple[DataFrame, int]:
+def _spans(docs: DataFrame, **how) -> DataFrame:
     """_doc, runs (sorted array of a << 31 | b): one row per text with something to remove."""
     runs = repeated_runs(docs, **how)
     packed = runs.select("doc", F.shiftleft(F.greatest("a", F.lit(0)).cast("long"), 31).bitwiseOR(F.col("b").cast("long")).alias("run"))
     stored = storage.store(packed.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set("run")).alias("runs")), "runs")
     _collect_garbage(docs)
-    return stored, int(stored.agg(F.sum(F.size("runs"))).first()[0] or 0)
+    return stored
 
 
 def _apply(size: int, runs: np.ndarray) -> list[tuple[int, int]]:
@@ -381,8 +375,7 @@ def _apply(size: int, runs: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _removed(docs: DataFrame, schema: str, columns: list, build, **how) -> DataFrame:
-    side, rows = _spans(docs, **how)
-    joined = docs.join(F.broadcast(side) if rows <= MOST_SENT else side, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    joined = docs.join(_spans(docs, **how), F.col("doc_id").cast("long") == F.col("_doc"), "left")
 
     def f(batch):
         yield build(batch, [(t, [] if r is None else _apply(len(t), r)) for t, r in zip((x.as_buffer() or b"" for x in batch.column(batch.num_columns - 1).cast(pa.binary())), _runs(batch.column(batch.num_columns - 2)), strict=True)])
