@@ -46,7 +46,7 @@ VIEWS: dict[str, str] = {
         CASE l_returnflag WHEN 'A' THEN 'old' ELSE 'new' END AS variant, COUNT(*) AS verified_block_count,
         SUM(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS salvageable_file_count, SUM(CASE WHEN l_quantity > 42 THEN 1 ELSE 0 END) AS exported_full_file_count
         FROM {lineitem} WHERE l_returnflag IN ('A', 'N') GROUP BY l_orderkey, l_returnflag""",
-    "experiments": """SELECT c_custkey AS archive_id, 'runs/set_profile_' || lower(c_mktsegment) || '.crs' AS archive_path, c_nationkey AS verified_block_count,
+    "experiments": """SELECT c_custkey AS archive_id, 'runs/set_profile_' || lower(c_mktsegment) || '.arc' AS archive_path, c_nationkey AS verified_block_count,
         c_custkey % 4 AS salvageable_file_count, c_custkey % 5 AS unsalvageable_file_count, c_custkey % 3 AS unmappable_file_count, c_custkey % 6 AS exported_block_count,
         c_custkey % 7 AS exported_extent_count, CASE WHEN c_custkey % 9 = 0 THEN 2 ELSE 0 END AS exported_full_file_count FROM {customer}""",
     "variants": """SELECT o_orderkey AS scenario_id, CASE o_orderkey % 4 WHEN 0 THEN 'payload_only' WHEN 1 THEN 'full' WHEN 2 THEN 'manifest' ELSE 'path_dict' END AS variant,
