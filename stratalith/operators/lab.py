@@ -35,10 +35,13 @@ CLASS_RANKS = [
 
 
 def scenario_matrix(spark: SparkSession) -> DataFrame:
-    """The locked core matrix: a cross product of six small, fixed dimensions, with ids."""
-    dims = [("dataset", DATASETS), ("format", FORMATS), ("corruption_type", CORRUPTIONS), ("target_class", TARGETS)]
-    out = reduce(lambda a, b: a.crossJoin(b), (spark.createDataFrame([(x,) for x in v], f"{k} string") for k, v in dims))
-    out = out.crossJoin(spark.createDataFrame(MAGNITUDES, "magnitude string, magnitude_bytes long")).crossJoin(spark.createDataFrame([(s,) for s in SEEDS], "seed long"))
+    """The locked core matrix: the product of six small, fixed dimensions, with ids."""
+    out = spark.range(1, numPartitions=1)
+    # explode, not crossJoin: local tables have a partition for each core, and a cartesian product multiplies them
+    for name, values in (("dataset", DATASETS), ("format", FORMATS), ("corruption_type", CORRUPTIONS), ("target_class", TARGETS)):
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    out = out.withColumn("m", F.explode(F.array(*(F.struct(F.lit(m).alias("magnitude"), F.lit(b).cast("long").alias("magnitude_bytes")) for m, b in MAGNITUDES))))
+    out = out.select("dataset", "format", "corruption_type", "target_class", "m.magnitude", "m.magnitude_bytes").withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in SEEDS))))
     return out.select(scenario_id().alias("scenario_id"), "*")
 
 
