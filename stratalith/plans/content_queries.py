@@ -1 +1,136 @@
-"""Queries."""
+"""Content, ordering, sampling and benchmark queries over the bindings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from ..bindings import duck, frame
+from ..operators import content as op
+from .registry import query
+
+_XML = "(starts_with(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), '<?xml') OR (starts_with(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), '<') AND contains(t, '</')))"
+_HTML = "(contains(lower(t), '<html') OR contains(lower(t), '<!doctype html'))"
+_ASCII = "length(regexp_replace(t, '[^\\n\\r\\t\\x20-\\x7E]', '', 'g'))"
+_REST = f"WHEN json_valid(t) THEN 'json' WHEN {_ASCII} * 100 >= 90 * strlen(t) THEN 'text' ELSE 'bin' END"
+_KIND = f"CASE WHEN t = '' THEN 'bin' WHEN contains(t, 'MANIFEST-') THEN 'leveldb' WHEN {_XML} THEN 'xml' WHEN {_HTML} THEN 'html' {_REST}"
+_TEXTS = "(SELECT doc_id AS id, text AS t FROM documents UNION ALL SELECT 1000000000 + page_id, html FROM pages UNION ALL SELECT 2000000000 + event_id, props FROM events)"
+
+
+def _texts(spark, d):
+    read = lambda t, i, c, base: spark.read.parquet(f"{d}/{t}.parquet").select((F.col(i) + base).alias("id"), F.col(c).cast("binary").alias("data"))
+    return read("documents", "doc_id", "text", 0).union(read("pages", "page_id", "html", 1000000000)).union(read("events", "event_id", "props", 2000000000))
+
+
+@query("f22_content_kinds", f"SELECT id, {_KIND} AS kind FROM {_TEXTS}")
+def f22(spark, d):
+    return _texts(spark, d).select("id", op.classify(F.col("data"))["kind"].alias("kind"))
+
+
+@query("f22_html_first", f"SELECT id, CASE WHEN t = '' THEN 'bin' WHEN contains(t, 'MANIFEST-') THEN 'leveldb' WHEN {_HTML} THEN 'html' WHEN {_XML} THEN 'xml' {_REST} AS kind FROM {_TEXTS}")
+def f22h(spark, d):
+    """The corrected order: html documents are html."""
+    return _texts(spark, d).select("id", op.classify(F.col("data"), html_first=True)["kind"].alias("kind"))
+
+
+@query("f24_assigned_names", f"SELECT id, CASE kind WHEN 'json' THEN format('file_{{:06d}}.json', id % 100000) WHEN 'bin' THEN format('file_{{:06d}}.bin', id % 100000) ELSE format('file_{{:06d}}.probable-', id % 100000) || kind || '.bin' END AS name FROM (SELECT id, {_KIND} AS kind FROM {_TEXTS})")
+def f24(spark, d):
+    c = _texts(spark, d).withColumn("c", op.classify(F.col("data")))
+    return c.select("id", op.assigned_name(F.col("id") % 100000, F.col("c.kind"), F.col("c.confidence")).alias("name"))
+
+
+# Extensions read as structured text and as text.
+STRUCTURED, TEXTUAL = ["json", "yaml", "html"], ["txt", "rs"]
+_EXT = "lower(regexp_extract(path, '[^/]\\.([^./]*)$', 1))"
+_CLASS = f"CASE WHEN kind <> 'file' THEN 'unknown_mixed' WHEN {_EXT} IN ('json', 'yaml', 'html') THEN 'structured_text_like' WHEN {_EXT} IN ('txt', 'rs') THEN 'text_like' WHEN sample = '' THEN 'unknown_mixed' ELSE 'text_like' END"
+
+
+def _tree(spark, d):
+    return frame(spark, d, "tree").withColumn("ext", op.extension(F.col("path")))
+
+
+def _classes(spark, d):
+    return _tree(spark, d).withColumn("class", op.content_class(F.col("kind"), F.col("ext"), F.col("sample").cast("binary"), STRUCTURED, TEXTUAL))
+
+
+@query("f25_content_classes", duck(f"SELECT id, {_CLASS} AS class FROM tree"))
+def f25(spark, d):
+    return _classes(spark, d).select("id", "class")
+
+
+@query("a31_class_counts", duck(f"SELECT k.class, COUNT(t.id) AS n FROM (VALUES ('structured_text_like'), ('text_like'), ('binary_like'), ('unknown_mixed')) k(class) LEFT JOIN (SELECT id, {_CLASS} AS class FROM tree) t ON k.class = t.class GROUP BY k.class"))
+def a31(spark, d):
+    """Zero-filled over the fixed classes."""
+    fixed = spark.createDataFrame([(c,) for c in op.CLASS_ORDER], "class string")
+    return fixed.join(_classes(spark, d).groupBy("class").agg(F.count("*").alias("n")), "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_RANK = "CASE kind WHEN 'directory' THEN 0 WHEN 'symlink' THEN 1 WHEN 'file' THEN 2 ELSE 99 END"
+_ORDERS = {"lexical": "path", "size_ascending": f"{_RANK}, size, {_EXT}, path", "size_descending": f"{_RANK}, -size, {_EXT}, path", "extension_grouped": f"{_RANK}, {_EXT}, path", "kind_then_extension": f"{_RANK}, {_EXT}, size, path"}
+
+for _s, _o in _ORDERS.items():
+
+    @query(f"o9_{_s}", duck(f"SELECT id, ROW_NUMBER() OVER (PARTITION BY {_CLASS} ORDER BY {_o}, id) AS place FROM tree"))
+    def _ordered(spark, d, s=_s):
+        """Places under an ordering strategy within each content class."""
+        return _classes(spark, d).select("id", F.row_number().over(Window.partitionBy("class").orderBy(*op.ordering(s), "id")).cast("long").alias("place"))
+
+
+@query("w7_interleaved_samples", duck("SELECT id, kind, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY path, id) AS turn FROM tree"))
+def w7(spark, d):
+    return op.interleave(frame(spark, d, "tree"), "kind", "path", "id").select("id", "kind", F.col("turn").cast("long").alias("turn"))
+
+
+@query("o8_sample_cap", duck("SELECT id, kind FROM (SELECT id, kind, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY path, id) AS turn FROM tree) ORDER BY turn, kind, id LIMIT 30"))
+def o8(spark, d):
+    """A sampling operator: the first thirty in round-robin order."""
+    return op.interleave(frame(spark, d, "tree"), "kind", "path", "id").orderBy("turn", "kind", "id").limit(30).select("id", "kind")
+
+
+_SWEEP = "SELECT dataset, zstd_level, SUM(archive_size_bytes) // COUNT(*) AS archive_size_bytes, SUM(pack_time_ms) // COUNT(*) AS pack_time_ms, SUM(extract_time_ms) // COUNT(*) AS extract_time_ms FROM bench_runs WHERE tool = 'tar_zstd' GROUP BY dataset, zstd_level"
+
+
+@query("a30_level_sweep", duck(f"SELECT dataset, zstd_level, CAST(archive_size_bytes AS BIGINT) AS archive_size_bytes, CAST(pack_time_ms AS BIGINT) AS pack_time_ms, CAST(extract_time_ms AS BIGINT) AS extract_time_ms, round(archive_size_bytes::DOUBLE / 20000, 6) AS ratio FROM ({_SWEEP})"))
+def a30(spark, d):
+    sizes = spark.createDataFrame([(x, 20000) for x in ("small", "medium", "large")], "dataset string, total_bytes long")
+    return op.sweep(frame(spark, d, "bench_runs").where("tool = 'tar_zstd'"), sizes).withColumn("ratio", F.round("ratio", 6)).drop("total_bytes")
+
+
+@query("o7_tuning_top", duck("SELECT dataset, zstd_level, tool, archive_size_bytes * greatest(pack_time_ms, 1) AS score, archive_size_bytes FROM bench_runs ORDER BY score, archive_size_bytes, dataset, zstd_level, tool LIMIT 5"))
+def o7(spark, d):
+    """A top-five report by bytes times milliseconds."""
+    r = frame(spark, d, "bench_runs").withColumn("score", F.col("archive_size_bytes") * F.greatest("pack_time_ms", F.lit(1)))
+    return r.orderBy("score", "archive_size_bytes", "dataset", "zstd_level", "tool").limit(5).select("dataset", "zstd_level", "tool", "score", "archive_size_bytes")
+
+
+@query("l20_tuning_grid", "SELECT b AS block_bytes, l AS level, k AS dictionary_bytes, b * l AS cost FROM (VALUES (1048576), (2097152), (4194304)) x(b), (VALUES (3), (9), (15)) y(l), (VALUES (0), (65536), (131072)) z(k)")
+def l20(spark, d):
+    out = spark.range(1, numPartitions=1)
+    for name, values in (("block_bytes", (1048576, 2097152, 4194304)), ("level", (3, 9, 15)), ("dictionary_bytes", (0, 65536, 131072))):
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return out.select("block_bytes", "level", "dictionary_bytes", (F.col("block_bytes") * F.col("level")).alias("cost"))
+
+
+@query("l19_comparator_set", "SELECT tool, level, ordering FROM (VALUES ('tar_zstd', 3), ('tar_zstd', 9), ('tar_zstd', 19), ('tar_xz', 3)) t(tool, level), (VALUES ('lexical'), ('size_ascending'), ('size_descending'), ('extension_grouped'), ('kind_then_extension')) o(ordering)")
+def l19(spark, d):
+    """Baselines and the level sweep, once each, under every ordering."""
+    base = [("tar_zstd", 3), ("tar_xz", 3), ("tar_zstd", 3), ("tar_zstd", 9), ("tar_zstd", 19)]
+    return spark.createDataFrame(base, "tool string, level int").dropDuplicates().select("tool", "level", F.explode(F.array(*map(F.lit, _ORDERS))).alias("ordering"))
+
+
+@query("f31_human_sizes", duck("SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', floor(n * 10 / 1024) / 10) || ' KiB' ELSE printf('%.1f', floor(n * 10 / 1048576) / 10) || ' MiB' END AS label FROM (SELECT id, size * (id % 600) AS n FROM tree)"))
+def f31(spark, d):
+    return frame(spark, d, "tree").select("id", op.human_size(F.col("size") * (F.col("id") % 600)).alias("label"))
+
+
+@query("h28_list_validation", duck("SELECT id, CASE WHEN trim(p) = '' THEN 'blank' WHEN starts_with(p, '-') THEN 'dash_prefixed' WHEN starts_with(p, '/') THEN 'absolute' END AS fault FROM (SELECT id, CASE id % 5 WHEN 0 THEN ' ' WHEN 1 THEN '-' || path WHEN 2 THEN '/' || path ELSE path END AS p FROM tree)"))
+def h28(spark, d):
+    p = F.col("p")
+    t = frame(spark, d, "tree").select("id", F.expr("CASE id % 5 WHEN 0 THEN ' ' WHEN 1 THEN '-' || path WHEN 2 THEN '/' || path ELSE path END").alias("p"))
+    return t.select("id", F.when(F.trim(p) == "", "blank").when(p.startswith("-"), "dash_prefixed").when(p.startswith("/"), "absolute").alias("fault"))
+
+
+@query("f34_damage_masks", "SELECT o_orderkey AS offset_, xor(xor(m, m >> 16), m >> 32) & 255 AS mask FROM (SELECT o_orderkey, o_orderkey * 65535 + o_custkey * 1337 AS m FROM orders)")
+def f34(spark, d):
+    """The byte each place is damaged with: seeds and offsets keep every product in 63 bits."""
+    m = F.col("o_orderkey") * 65535 + F.col("o_custkey") * 1337
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("offset_"), m.bitwiseXOR(F.shiftright(m, 16)).bitwiseXOR(F.shiftright(m, 32)).bitwiseAND(F.lit(255)).alias("mask"))
