@@ -130,22 +130,23 @@ def v7(spark, d):
     return seen.join(order, "file_id").select("file_id", "found", op.recovery_class(F.col("found"), F.col("expected"), F.col("named"), F.col("ordered")).alias("class"))
 
 
-@query("v8_file_identity_planner", duck(f"SELECT file_id, n FROM ({_ORD}) WHERE file_id % 50 NOT IN (SELECT file_id % 50 FROM ({_ORD}) WHERE n > 6 AND has_gap)"))
+@query("v8_file_identity_planner", duck(f"SELECT file_id, n FROM ({_ORD}) WHERE file_id % 2000 NOT IN (SELECT file_id % 2000 FROM ({_ORD}) WHERE n > 6 AND has_gap)"))
 def v8(spark, d):
-    """Sources are sets of fifty-fold ids; an ordinal gap in a long file is fatal for its whole source."""
-    checked = op.ordinal_check(frame(spark, d, "identity"), "file_id", "block_index", ["block_id", "path_id"]).withColumn("archive", F.col("file_id") % 50)
+    """Sources are ids modulo 2000; an ordinal gap in a long file is fatal for its whole source."""
+    checked = op.ordinal_check(frame(spark, d, "identity"), "file_id", "block_index", ["block_id", "path_id"]).withColumn("archive", F.col("file_id") % 2000)
     return op.fatal_sources(checked, "archive", (F.col("n") > 6) & F.col("has_gap")).select("file_id", "n")
 
 
-@query("v9_redundant_map_planner", duck(f"SELECT c.file_id, c.covered FROM ({_CONT}) c WHERE c.file_id % 300 NOT IN (SELECT file_id % 300 FROM ({_CONT}) WHERE NOT contiguous)"))
+@query("v9_redundant_map_planner", duck(f"SELECT c.file_id, c.covered FROM ({_CONT}) c WHERE c.file_id % 5000 NOT IN (SELECT file_id % 5000 FROM ({_CONT}) WHERE NOT contiguous)"))
 def v9(spark, d):
-    checked = op.contiguity(frame(spark, d, "extents"), "file_id", ["ordinal"]).withColumn("archive", F.col("file_id") % 300)
+    checked = op.contiguity(frame(spark, d, "extents"), "file_id", ["ordinal"]).withColumn("archive", F.col("file_id") % 5000)
     return op.fatal_sources(checked, "archive", ~F.col("contiguous")).select("file_id", "covered")
 
 
-@query("v11_unshared_claims", duck("SELECT file_id, block_id FROM identity WHERE block_id NOT IN (SELECT block_id FROM identity GROUP BY block_id HAVING COUNT(DISTINCT file_id) > 1)"))
+@query("v11_unshared_claims", duck("SELECT file_id, block_id FROM identity WHERE path_id = block_index AND block_id NOT IN (SELECT block_id FROM identity WHERE path_id = block_index GROUP BY block_id HAVING COUNT(DISTINCT file_id) > 1)"))
 def v11(spark, d):
-    return op.reject_shared_blocks(frame(spark, d, "identity").select("file_id", "block_id"))
+    """Claims of manifests, here those whose path id is the block's index."""
+    return op.reject_shared_blocks(frame(spark, d, "identity").where("path_id = block_index").select("file_id", "block_id"))
 
 
 @query("v12_dictionary_conflicts", duck("SELECT dir_id, COUNT(DISTINCT generation) AS generations, COUNT(*) AS entries, COUNT(DISTINCT generation) > 1 AS conflict FROM paths GROUP BY dir_id"))
