@@ -43,8 +43,8 @@ WORDS, PERCENT = 3, 90
 BAND = 1.5
 #: Parts beyond the k + 1 that the pigeonhole needs, so that light parts need no signature.
 SPARE = 1.25
-#: Bits of a parity sketch.
-SKETCH = 1024
+#: Least bits of a parity sketch; larger sets have the power of two that is at least twice their size.
+SKETCH = 512
 #: Members of a block of a bucket that is checked exhaustively.
 BLOCK = 256
 #: Candidate ids that are broadcast to the documents; beyond that they are joined by a shuffle.
@@ -225,44 +225,68 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(f, "bucket long, doc long, center long").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc, grams, sketch: the sets of the wanted ids, and the parity of their features in SKETCH buckets."""
-    ids = wanted.select(F.col("doc").alias("_doc"))
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the wanted ids (doc)."""
+    ids = ids.select(F.col("doc").alias("_doc"))
     if ids.count() <= MOST_SENT:
         ids = F.broadcast(ids)
-    rows = _texts(docs).join(ids, F.col("doc_id") == F.col("_doc"), "left_semi")
+    return _texts(docs).join(ids, F.col("doc_id") == F.col("_doc"), "left_semi")
+
+
+def _sketches(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc, size, sketch: set sizes of the wanted ids and the parity of their features in as many buckets as fit the size."""
 
     def f(batch):
         grams, bounds = shingles(batch.column(1), words)
-        n = batch.num_rows
-        spot = np.repeat(np.arange(n), np.diff(bounds)) * SKETCH + (grams % np.uint64(SKETCH)).astype(np.int64)
-        bits = np.packbits((np.bincount(spot, minlength=n * SKETCH) & 1).astype(bool).reshape(n, SKETCH), axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(grams, bounds), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc", "grams", "sketch"])
+        size = np.diff(bounds)
+        bits = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(1, 2 * size))).astype(np.int64))
+        begin = np.concatenate([[0], np.cumsum(bits)])
+        spot = np.repeat(begin[:-1], size) + (grams & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+        packed = np.packbits((np.bincount(spot, minlength=begin[-1]) & 1).astype(bool))
+        sketch = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((begin // 8).astype(np.int32)), pa.py_buffer(packed)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), sketch], ["doc", "size", "sketch"])
+
+    return tk.map_texts(_wanted(docs, ids), "doc long, size long, sketch binary", f, ["doc_id", "text"]).dropDuplicates(["doc"])
 
-    return tk.map_texts(rows, "doc long, grams array<long>, sketch binary", f, ["doc_id", "text"])
 
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc, grams: the sets of the wanted ids; a repeated row's set stands twice."""
+
+    def f(batch):
+        grams, bounds = shingles(batch.column(1), words)
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(grams, bounds)], ["doc", "grams"])
 
-def near(first: np.ndarray, second: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether parity sketches and sizes leave room for the threshold: sets differ in no fewer features than sketches in bits."""
-    apart = np.bitwise_count(first ^ second).sum(-1, dtype=np.int64)
+    return tk.map_texts(_wanted(docs, ids), "doc long, grams array<long>", f, ["doc_id", "text"])
+
+
+def near(apart: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and bits between parity sketches leave room for the threshold: sets differ in no fewer features than sketches in bits."""
     room = (na + nb) * (100 - percent) >= apart * (100 + percent)
     return room & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return tk.strings(column)[0].view(np.uint64).reshape(-1, SKETCH // 64)
+def _bits(column: pa.Array) -> list[np.ndarray]:
+    data, offsets = tk.strings(column)
+    return [data[a:b].view(np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The same set's sketch in fewer buckets: buckets are hashes modulo their number, a power of two."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
-def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sketches and sizes do not rule out."""
-    one = sets.select(F.col("doc").alias("_a"), F.size("grams").alias("na"), F.col("sketch").alias("ka"))
-    two = sets.select(F.col("doc").alias("_b"), F.size("grams").alias("nb"), F.col("sketch").alias("kb"))
+    one = sketches.select(F.col("doc").alias("_a"), F.col("size").alias("na"), F.col("sketch").alias("ka"))
+    two = sketches.select(F.col("doc").alias("_b"), F.col("size").alias("nb"), F.col("sketch").alias("kb"))
 
     def f(batches):
         for b in batches:
             if b.num_rows:
-                keep = near(_sketches(b.column(4)), _sketches(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
+                na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+                apart = np.array([int(np.bitwise_count(fold(x, k) ^ fold(y, k)).sum()) for x, y in zip(_bits(b.column(4)), _bits(b.column(5)), strict=True) for k in (min(len(x), len(y)),)])
+                keep = pa.array(near(apart, na, nb, percent))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
     return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(f, "a long, b long")
@@ -272,9 +296,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     left = sets.select(F.col("doc").alias("_a"), F.col("grams").alias("_ga"))
     right = sets.select(F.col("doc").alias("_b"), F.col("grams").alias("_gb"))
-    both = _close(pairs, sets, percent).join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
     shared = F.size(F.array_intersect("_ga", "_gb"))
-    return both.where(shared * 100 >= (F.size("_ga") + F.size("_gb") - shared) * percent).select("a", "b")
+    return both.where(shared * 100 >= (F.size("_ga") + F.size("_gb") - shared) * percent).select("a", "b").distinct()
 
 
 def matches(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> np.ndarray:
@@ -297,15 +321,14 @@ def matches(first: list[np.ndarray], second: list[np.ndarray], percent: int) ->
     return shared * 100 >= (na[:, None] + nb[None, :] - shared) * percent
 
 
-def _exhausted(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _exhausted(docs: DataFrame, open_: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
     """All links across components within the open buckets (bucket, doc, comp), block by block."""
     sizes = open_.groupBy(F.col("bucket").alias("_k")).agg(F.count("*").alias("m"))
     rows = open_.join(sizes, F.col("bucket") == F.col("_k")).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
     # a row goes to the block pairs (i, j), i <= j, of which its block is one
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
     dealt = rows.withColumn("p", F.explode(pairs)).select("bucket", "p.i", "p.j", "mine", "doc", "comp")
-    light = sets.select(F.col("doc").alias("_d"), F.size("grams").alias("size"), "sketch")
-    sketched = dealt.join(light, F.col("doc") == F.col("_d")).select("bucket", "i", "j", "mine", "doc", "comp", "size", "sketch")
+    sketched = dealt.join(sketches.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).select("bucket", "i", "j", "mine", "doc", "comp", "size", "sketch")
 
     def filter_(batches):
         """The rows of each block pair that sketches leave with a partner in another component."""
@@ -313,12 +336,14 @@ def _exhausted(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         def out():
             mine, doc, comp, size = (np.array([r[c] for r in group]) for c in range(4))
-            bits = np.stack([r[4] for r in group])
+            least = min(len(r[4]) for r in group)
+            bits = np.stack([fold(r[4], least) for r in group])
             one = np.flatnonzero(mine == key[1])
             two = one if key[1] == key[2] else np.flatnonzero(mine == key[2])
             left = np.zeros(len(group), bool)
             for x in one.tolist():
-                hit = two[near(bits[two], bits[x], size[two], size[x], percent) & (comp[two] != comp[x])]
+                apart = np.bitwise_count(bits[two] ^ bits[x]).sum(1, dtype=np.int64)
+                hit = two[near(apart, size[two], size[x], percent) & (comp[two] != comp[x])]
                 left[hit] = True
                 left[x] |= len(hit) > 0
             at = np.flatnonzero(left)
@@ -328,7 +353,7 @@ def _exhausted(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            head, bits = list(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True)), _sketches(batch.column(7))
+            head, bits = list(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True)), _bits(batch.column(7))
             for (bucket, i, j, mine, doc, comp, size), sketch in zip(head, bits, strict=True):
                 if (bucket, i, j) != key:
                     if group:
@@ -340,6 +365,8 @@ def _exhausted(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     schema = "bucket long, i int, j int, mine int, doc long, comp long"
     left = sketched.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc").mapInArrow(filter_, schema)
+    left = storage.store(left, "left")
+    sets = _sets(docs, left.select("doc").distinct(), words)
     full = left.join(sets.select(F.col("doc").alias("_d"), "grams"), F.col("doc") == F.col("_d")).select("bucket", "i", "j", "mine", "doc", "comp", "grams")
     ordered = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
 
@@ -381,9 +408,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     copies = storage.store(copies.distinct(), "copies")
     buckets = storage.store(_buckets(sign(docs, copies, words, percent)), "buckets")
     docs.sparkSession._jvm.System.gc()  # the cleaner drops the shuffle files of signatures
-    sets = storage.store(_sets(docs, buckets.select("doc").distinct(), words).dropDuplicates(["doc"]), "sets")
+    sketches = storage.store(_sketches(docs, buckets.select("doc").distinct(), words), "sketches")
     pairs = buckets.where("doc <> center").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = storage.store(_close(pairs, sketches, percent), "pairs")
+    sets = storage.store(_sets(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), words), "sets")
     links = storage.store(_verified(pairs, sets, percent), "verified")
+    storage.drop(sets)
     found = components.connected(links)
 
     # buckets whose members beside the center lie in several components
@@ -391,7 +421,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rest = storage.store(rest, "rest")
     several = rest.groupBy(F.col("bucket").alias("_b")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("_b")
     open_ = rest.join(several, F.col("bucket") == F.col("_b"), "left_semi")
-    more = storage.store(_exhausted(open_, sets, percent), "more")
+    more = storage.store(_exhausted(docs, open_, sketches, words, percent), "more")
     if more.limit(1).count():
         found = components.connected(links.unionByName(more))
 
