@@ -39,8 +39,6 @@ from . import storage, textkit as tk
 MIN_PAGES, SUPPORT = 4, 0.6
 #: Words of text nodes that are tokens of the template.
 SHORT_NODE = 16
-#: Least share of a task's pages of a host in which a token stands that is passed on.
-LOCAL_SUPPORT = 0.5
 #: Tokens a task holds before it passes them on.
 HELD_TOKENS = 200_000
 #: Most templates that are sent to all tasks; beyond that they are joined to the pages.
@@ -272,7 +270,7 @@ def templates(pages: DataFrame) -> DataFrame:
         size = 0
 
         def out():
-            rows = [(h, t, *v) for h, (n, own) in held.items() for t, v in own.items() if v[0] >= LOCAL_SUPPORT * n or t[0] == "~"]
+            rows = [(h, t, *v) for h, (_, own) in held.items() for t, v in own.items()]
             rows += [(h, "", n, 0, 0, 0, 0) for h, (n, _) in held.items()]
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.string()] + [pa.int64()] * 5, strict=True)], ["host", "token", "pages", "n", "a", "b", "words"])

@@ -251,6 +251,15 @@ def test_extraction_with_and_without_article(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_template_does_not_depend_on_how_pages_are_dealt(spark):
+    has = [True] * 10 + [True, True, False, False, False] + [True, False, False, False, False]  # 65 % of the pages, by tasks 5, 5, 2 and 1 of 5
+    rows = [(i, "http://d.example/", f'<html><body><div class="top"><p>Line {i}</p></div>' + (f'<div class="content"><p>Alpha beta gamma {i}</p></div>' if h else "") + "</body></html>") for i, h in enumerate(has)]
+    schema = "page_id long, url string, html string"
+    uneven = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), schema)
+    texts = [{r["page_id"]: r["text"] for r in html_extract.extract(p).collect()} for p in (uneven, uneven.coalesce(1))]
+    assert texts[0] == texts[1] == {i: f"Alpha beta gamma {i}" if h else f"Line {i}" for i, h in enumerate(has)}
+
+
 # 9 factorisation machine
 
 
