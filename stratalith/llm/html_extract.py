@@ -1,7 +1,7 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Learning. A page's tokens are its tags and the words of its short text nodes, each told
-apart by its path of open elements. The occurrence vector of a token over the pages of a
+Learning. A page's tokens are its tags and the words of its short text nodes (a longer
+node is one token), each told apart by its path of open elements. The occurrence vector of a token over the pages of a
 host is carried as sums of count(page) * weight(page) under two random weights, which add
 up across tasks, so a host of any size needs no task of its own. Tokens of a host with
 equal vectors and enough support form an equivalence class. A class is valid if the
@@ -14,8 +14,13 @@ adverts, forms, scripts or reader comments are dropped. Of the remaining element
 classes, the article element is main; without one, the innermost that holds most of the
 words of the remaining slots.
 
+A word is of the template if its vector is a multiple of that of its own element, or if
+all words of its path stand equally often on every page that has the element. A host whose
+kept elements hold nothing else (copies of a page) has no such words.
+
 Extraction. Each page is parsed where it lies with the template of its host; all blocks of
-the main element are joined in page order. Pages without the template's main element (and
+the main element are joined in page order, without the text nodes that consist of template
+words alone. Pages without the template's main element (and
 hosts with too few pages) fall back to the page's own article, then to its whole body.
 
 Null and empty html give an empty text. A null url is a host of its own. Unclosed elements,
@@ -25,6 +30,7 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -37,12 +43,14 @@ from . import storage, textkit as tk
 
 #: Least pages of a host with a template, and the share of them in which a class stands.
 MIN_PAGES, SUPPORT = 4, 0.6
-#: Words of text nodes that are tokens of the template.
+#: Words of text nodes that are tokens of the template each; a longer node is a token as a whole.
 SHORT_NODE = 16
 #: Tokens a task holds before it passes them on.
 HELD_TOKENS = 200_000
 #: Most templates that are sent to all tasks; beyond that they are joined to the pages.
 MOST_SENT = 20_000
+#: Most words of templates that are sent to all tasks.
+MOST_SENT_WORDS = 400_000
 
 # Element and attribute names of the markup language and of common page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -152,10 +160,24 @@ def parse(page: str):
     yield from close(0)
 
 
-def blocks(page: str, main: str | None) -> list[str]:
-    """Text blocks under the element with path ``main``, else under the page's own article, else of the whole body."""
+def units(words: list[str]) -> list[str]:
+    """The tokens of a text node, without its path."""
+    return words if len(words) <= SHORT_NODE else [hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=12).hexdigest()]
+
+
+def by_path(template: list[str]) -> dict[str, set[str]]:
+    out: dict[str, set[str]] = {}
+    for t in template:
+        path, _, word = t.rpartition("\t")
+        out.setdefault(path, set()).add(word)
+    return out
+
+
+def blocks(page: str, main: str | None, template: dict[str, set[str]]) -> list[str]:
+    """Text blocks under the element with path ``main``, else under the page's own article, else of the whole body, without text nodes of template words."""
     wanted, own, body = [], [], []
     text: list[str] = []
+    reached = [False, False]  # template words in the main element, in an article
     inside = []  # whether the open block lies in the main element, in an article
 
     def flush():
@@ -180,6 +202,11 @@ def blocks(page: str, main: str | None) -> list[str]:
                 continue
             else:
                 here = bool(prefix and (element.path + "/").startswith(prefix)), element.main
+                if element.path in template and (words := event[2].split()) and template[element.path].issuperset(units(words)):
+                    reached = [a or b for a, b in zip(reached, here, strict=True)]
+                    if text:
+                        text.append(" ")
+                    continue
             if not text:
                 inside[:] = here
             elif inside != list(here):
@@ -197,7 +224,9 @@ def blocks(page: str, main: str | None) -> list[str]:
         elif event[1].dropped and kind == "open" and text:
             text.append(" ")
     flush()
-    return wanted or own or body
+    if wanted or reached[0]:
+        return wanted
+    return own if own or reached[1] else body
 
 
 def _weights(page_id: int) -> tuple[int, int]:
@@ -205,9 +234,9 @@ def _weights(page_id: int) -> tuple[int, int]:
     return zlib.crc32(key) >> 1 | 1, zlib.crc32(key, 0x5EED) >> 1 | 1
 
 
-def tokens(page: str) -> tuple[Counter, Counter]:
-    """Counts of a page's template tokens (+path, -path, path=word) and the words under each kept element."""
-    seen, mass = Counter(), Counter()
+def tokens(page: str) -> tuple[Counter, Counter, Counter]:
+    """Counts of a page's template tokens (+path, -path, path and word), and the words and the text tokens under each kept element."""
+    seen, mass, held = Counter(), Counter(), Counter()
     for event in parse(page):
         kind = event[0]
         if kind == "open":
@@ -216,12 +245,12 @@ def tokens(page: str) -> tuple[Counter, Counter]:
             seen["-" + event[1].path] += 1
         elif kind == "text" and event[1] is not None:
             words = event[2].split()
-            if words and event[1].name not in RAW:
-                if len(words) <= SHORT_NODE:
-                    seen.update(f"{event[1].path}={w}" for w in words)
-                if not event[1].dropped:
-                    mass[event[1].path] += len(words)
-    return seen, mass
+            if words and event[1].name not in RAW and not event[1].dropped:
+                own = units(words)
+                seen.update(f"{event[1].path}\t{w}" for w in own)
+                mass[event[1].path] += len(words)
+                held[event[1].path] += len(own)
+    return seen, mass, held
 
 
 def _host():
@@ -232,15 +261,43 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _host().alias("host"), F.col("html").cast("string").alias("html"))
 
 
-def deduce(n: int, rows: list[tuple[str, int, int, int, int, int]]) -> str | None:
-    """The path of the main element of a host with n pages; rows: token, pages, count, two vector sums, words."""
+def deduce(n: int, rows: list[tuple[str, int, int, int, int, int, int]]) -> tuple[str | None, list[str]]:
+    """The path of the main element of a host with n pages, and the text tokens of its template.
+
+    rows: token, pages, count, two vector sums, words, sum of squared counts.
+    """
     classes: dict[tuple, dict[str, int]] = {}
-    mass = Counter()
-    for token, pages, count, a, b, words in rows:
+    mass, held, texts = Counter(), Counter(), {}
+    for token, pages, count, a, b, words, squares in rows:
         if token[0] == "~":
             mass[token[1:]] += words
+            held[token[1:]] += count
+        elif token[0] == "/":
+            if pages >= SUPPORT * n:
+                texts.setdefault(token.rpartition("\t")[0], {})[token] = pages, count, a, b, squares
         elif pages >= SUPPORT * n:
             classes.setdefault((pages, count, a, b), {})[token] = count
+    template, covered = [], Counter()
+    for (pages, count, a, b), members in classes.items():
+        for t in members:
+            path = t[1:]
+            if t[0] != "+" or "-" + path not in members or path not in texts:
+                continue
+            own = texts[path]
+            steady = [w for w, v in own.items() if v[0] == pages and v[0] * v[4] == v[1] ** 2]  # equally often on every page with the element
+            if sum(own[w][1] for w in steady) != held[path]:
+                steady = [w for w, v in own.items() if v[0] == pages and v[1] % count == 0 and (v[2], v[3]) == (v[1] // count * a, v[1] // count * b)]
+            template += steady
+            covered[path] = sum(own[w][1] for w in steady)
+    slots = Counter({p: w * (held[p] - covered[p]) / held[p] for p, w in mass.items() if covered[p] < held[p]})
+    main = _main(classes, slots or mass)
+    under = lambda p: main is None or (p + "/").startswith(main + "/")
+    if all(covered[p] == k for p, k in held.items() if under(p)):
+        return main, []  # copies of one page: nothing tells slots from template
+    return main, template
+
+
+def _main(classes: dict[tuple, dict[str, int]], mass: Counter) -> str | None:
     # the elements of valid classes: opened and closed by tokens of the same class
     valid = {t[1:]: pages for (pages, _, _, _), members in classes.items() for t in members if t[0] == "+" and "-" + t[1:] in members}
     once = {t[1:] for (pages, count, _, _), members in classes.items() if pages == count for t in members if t[0] == "+" and "-" + t[1:] in members}
@@ -263,34 +320,39 @@ def deduce(n: int, rows: list[tuple[str, int, int, int, int, int]]) -> str | Non
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, main: the path of the main element of every host with a template."""
+    """host, main, words: the path of the main element and the text tokens of every host with a template."""
+
+    sums = ["pages", "n", "a", "b", "words", "squares"]
 
     def count(batches):
-        held: dict[str, list] = {}  # host -> [pages, {token: [pages, count, a, b, words]}]
+        held: dict[str, list] = {}  # host -> [pages, {token: [pages, count, a, b, words, squares]}]
         size = 0
 
         def out():
             rows = [(h, t, *v) for h, (_, own) in held.items() for t, v in own.items()]
-            rows += [(h, "", n, 0, 0, 0, 0) for h, (n, _) in held.items()]
+            rows += [(h, "", n, 0, 0, 0, 0, 0) for h, (n, _) in held.items()]
             columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.string()] + [pa.int64()] * 5, strict=True)], ["host", "token", "pages", "n", "a", "b", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.string()] + [pa.int64()] * 6, strict=True)], ["host", "token", *sums])
 
         for batch in batches:
             for page, host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                seen, mass = tokens(text.as_py() or "")
+                seen, mass, each = tokens(text.as_py() or "")
                 a, b = _weights(page if page is not None else -1)
                 entry = held.setdefault(host, [0, {}])
                 entry[0] += 1
                 own = entry[1]
                 size -= len(own)
                 for t, k in seen.items():
-                    v = own.setdefault(t, [0, 0, 0, 0, 0])
+                    v = own.setdefault(t, [0, 0, 0, 0, 0, 0])
                     v[0] += 1
                     v[1] += k
                     v[2] += a * k
                     v[3] += b * k
+                    v[5] += k * k
                 for t, k in mass.items():
-                    own.setdefault("~" + t, [0, 0, 0, 0, 0])[4] += k
+                    v = own.setdefault("~" + t, [0, 0, 0, 0, 0, 0])
+                    v[1] += each[t]
+                    v[4] += k
                 size += len(own)
                 if size > HELD_TOKENS:
                     yield out()
@@ -298,36 +360,39 @@ def templates(pages: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    schema = "host string, token string, pages long, n long, a long, b long, words long"
-    total = pages.select("page_id", "host", "html").mapInArrow(count, schema).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "a", "b", "words")))
+    schema = "host string, token string, " + ", ".join(f"{c} long" for c in sums)
+    total = pages.select("page_id", "host", "html").mapInArrow(count, schema).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in sums))
     stored = storage.store(total, "tokens")
     sizes = stored.where("token = ''").where(F.col("pages") >= MIN_PAGES).select(F.col("host").alias("_h"), F.col("pages").alias("total"))
     kept = stored.where("token <> ''").join(sizes, F.col("host") == F.col("_h")).where((F.substring("token", 1, 1) == "~") | (F.col("pages") >= SUPPORT * F.col("total")))
-    grouped = kept.groupBy("host", "total").agg(F.collect_list(F.struct("token", "pages", "n", "a", "b", "words")).alias("rows"))
+    grouped = kept.groupBy("host", "total").agg(F.collect_list(F.struct("token", *sums)).alias("rows"))
 
     def build(batches):
         for b in batches:
             hosts = b.column(0).to_pylist()
-            mains = [deduce(n, [tuple(r.values()) for r in rows]) for n, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(mains, pa.string())], ["host", "main"])
+            found = [deduce(n, [tuple(r.values()) for r in rows]) for n, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([m for m, _ in found], pa.string()), pa.array([w for _, w in found], pa.list_(pa.string()))], ["host", "main", "words"])
 
-    return grouped.mapInArrow(build, "host string, main string").where("main is not null")
+    return grouped.mapInArrow(build, "host string, main string, words array<string>").where("main is not null or size(words) > 0")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page."""
     rows = _pages(pages)
     learned = storage.store(templates(rows), "templates")
-    sent = learned.limit(MOST_SENT + 1).collect()
-    if len(sent) <= MOST_SENT:
-        known = {r["host"]: r["main"] for r in sent}
-        rows = rows.select("page_id", "url", F.lit(None).cast("string").alias("main"), "host", "html")
+    size = learned.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    if size[0] <= MOST_SENT and size[1] <= MOST_SENT_WORDS:
+        known = {r["host"]: (r["main"], by_path(r["words"])) for r in learned.collect()}
+        rows = rows.select("page_id", "url", F.lit(None).cast("string").alias("main"), "host", F.lit(None).cast("array<string>").alias("words"), "html")
     else:
         known = {}
-        rows = rows.join(learned.withColumnRenamed("host", "_h"), F.col("host") == F.col("_h"), "left").select("page_id", "url", "main", "host", "html")
+        rows = rows.join(learned.withColumnRenamed("host", "_h"), F.col("host") == F.col("_h"), "left").select("page_id", "url", "main", "host", "words", "html")
 
     def run(batch):
-        texts = ["\n\n".join(blocks(t.as_py() or "", m or known.get(h))) for m, h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True)]
+        texts = []
+        for m, h, w, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+            main, template = known.get(h) or (m, by_path(w or []))
+            texts.append("\n\n".join(blocks(t.as_py() or "", main, template)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return tk.map_texts(rows, "page_id long, url string, text string, n_chars long", run, ["page_id", "url", "main", "host", "html"])
+    return tk.map_texts(rows, "page_id long, url string, text string, n_chars long", run, ["page_id", "url", "main", "host", "words", "html"])

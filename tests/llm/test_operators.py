@@ -260,6 +260,16 @@ def test_template_does_not_depend_on_how_pages_are_dealt(spark):
     assert texts[0] == texts[1] == {i: f"Alpha beta gamma {i}" if h else f"Line {i}" for i, h in enumerate(has)}
 
 
+def test_constant_text_under_a_neutral_class_goes(spark):
+    long = " ".join(f"notice{k}" for k in range(30))
+    same = f'<div class="x1"><p>Join our letter</p><span>Home</span><span>Other pages</span></div><div>{long}</div>'
+    rows = [(i, "http://e.example/", f"<html><body><article><p>Story {i} told</p>{same}<p>More of {i}</p></article></body></html>") for i in range(8)]
+    rows += [(100 + i, "http://f.example/", f"<html><body>{same}<table><tr><td>Cell {i}</td></tr></table></body></html>") for i in range(8)]
+    rows += [(200 + i, "http://g.example/", "<html><body><article><p>Only copies</p></article></body></html>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} told\n\nMore of {i}" for i in range(8)} | {100 + i: f"Cell {i}" for i in range(8)} | {200 + i: "Only copies" for i in range(8)}
+
+
 # 9 factorisation machine
 
 
