@@ -8,7 +8,7 @@ Words are hashed to ``VOCABULARY`` ids. Ids are put into ``CLASSES`` classes by
 in the whole corpus: the most frequent have classes of their own, the rest share bins of
 equal mass; p(token | class) is the smoothed corpus share.
 
-Training takes a fixed share of the documents, so it grows with the corpus. Every task
+Training takes all documents. Every task
 starts from the same weights, trains on its documents in numpy, and hands back weights; they
 are averaged by tokens as a stream, in fixed-size blocks, and the average starts the next
 round. A document's score is the sum of its tokens' conditional log probabilities.
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 
 VOCABULARY, CLASSES, WIDTH, SIDE = 1 << 15, 64, 16, 2
-#: Share of the documents that is trained on, and how often weights are averaged.
-TRAIN_SHARE, ROUNDS = 1 / 20, 2
+#: Share of the documents that is trained on (all; less only by request), and how often weights are averaged.
+TRAIN_SHARE, ROUNDS = 1.0, 2
 MINIBATCH, RATE = 1024, 0.1
 #: Ids with a class of their own.
 OWN_CLASSES = 40
@@ -158,7 +158,10 @@ def fit(docs: DataFrame, share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> tu
     counts = count(docs)
     corpus = Corpus.of(counts)
     network = Network.start(np.bincount(corpus.klass, counts + 0.5, CLASSES))
-    sample = _texts(docs).where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    sample = _texts(docs)
+    if share < 1:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = sample.select("text")
     for _ in range(rounds):
         flat = network.flat
 
@@ -213,5 +216,5 @@ def score(docs: DataFrame, network: Network, corpus: Corpus) -> DataFrame:
 
 
 def pseudo_likelihood(docs: DataFrame, **fitting) -> DataFrame:
-    """Train on a share of docs and score every document."""
+    """Train on docs and score every document."""
     return score(docs, *fit(docs, **fitting))

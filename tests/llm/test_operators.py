@@ -321,6 +321,16 @@ def test_scores_equal_a_plain_loop_and_order_matters(spark):
     assert masked_lm.pseudo_likelihood(frame(spark, [])).count() == 0
 
 
+def test_every_document_trains_the_registered_setting(spark):
+    words = [a + b for a in EN for b in DE]
+    rows = [(i, " ".join(words[7 * i : 7 * i + 7])) for i in range(20)]  # no word stands in two documents
+    network, corpus = masked_lm.fit(frame(spark, rows))
+    start = masked_lm.Network.start(np.bincount(corpus.klass, masked_lm.count(frame(spark, rows)) + 0.5, masked_lm.CLASSES))
+    for _, text in rows:
+        ids = masked_lm.tokens(pa.array([text]))[0]
+        assert (network.embed[ids] != start.embed[ids]).any(1).all()
+
+
 def test_fingerprints_do_not_depend_on_place():
     data = np.frombuffer(b"abcabcab", np.uint8)
     p = textkit.byte_prefix(data)
