@@ -2,11 +2,13 @@
 
 The log probability of a token given its ``SIDE`` neighbours on either side is
 
-    log softmax(tanh(sum_j E[neighbour_j] * P_j + b) O + c)[class(token)] + log p(token | class)
+    log softmax(h O + c)[class(token)] + sum_k log sigmoid(+-(h S_k + t_k)),  h = tanh(sum_j E[neighbour_j] * P_j + b)
 
 Words are hashed to ``VOCABULARY`` ids. Ids are put into ``CLASSES`` classes by their counts
 in the whole corpus: the most frequent have classes of their own, the rest share bins of
-equal mass; p(token | class) is the smoothed corpus share.
+equal mass. Within a bin the token is found by a balanced binary tree (hierarchical
+softmax): k runs over the splits on its way, each decided by the same hidden state, and
+starts at the smoothed corpus shares of its sides.
 
 Training takes all documents. Every task
 starts from the same weights, trains on its documents in numpy, and hands back weights; they
@@ -60,10 +62,13 @@ def neighbours(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Corpus:
-    """Classes of ids, and log p(id | class)."""
+    """Classes of ids, log share of ids in their class, splits on the way to each id with the side taken (0 beyond its end), log odds of splits."""
 
     klass: np.ndarray
     within: np.ndarray
+    splits: np.ndarray
+    sides: np.ndarray
+    tilt: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Corpus:
@@ -74,11 +79,40 @@ class Corpus:
         mass = np.cumsum(np.sqrt(counts[rest] + 0.5))
         klass[rest] = OWN_CLASSES + np.minimum(CLASSES - OWN_CLASSES - 1, (mass / mass[-1] * (CLASSES - OWN_CLASSES)).astype(np.int32))
         smooth = counts + 0.5
-        return cls(klass, np.log(smooth / np.bincount(klass, smooth, CLASSES)[klass]))
+        return cls(klass, np.log(smooth / np.bincount(klass, smooth, CLASSES)[klass]), *_trees(order, klass, smooth))
+
+
+def _trees(order: np.ndarray, klass: np.ndarray, smooth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Balanced binary trees over the ids of each class."""
+    mass = np.concatenate([[0.0], np.cumsum(smooth[order])])
+    bounds = np.searchsorted(klass[order], np.arange(CLASSES + 1))
+    level = [(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1]
+    splits, sides, tilt, n = [], [], np.zeros(VOCABULARY, np.float32), 0
+    while level:
+        split, side, below = np.zeros(VOCABULARY, np.uint16), np.zeros(VOCABULARY, np.int8), []
+        for a, b in level:
+            m = (a + b) // 2
+            split[order[a:b]] = n
+            side[order[a:m]], side[order[m:b]] = 1, -1
+            tilt[n] = np.log((mass[m] - mass[a]) / (mass[b] - mass[m]))
+            n += 1
+            below += [(x, y) for x, y in ((a, m), (m, b)) if y - x > 1]
+        splits.append(split)
+        sides.append(side)
+        level = below
+    return np.stack(splits, 1), np.stack(sides, 1), tilt
+
+
+def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that occur and the sums of their rows."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 class Network:
-    SHAPES = ((VOCABULARY + 1, WIDTH), (2 * SIDE, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,))
+    SHAPES = ((VOCABULARY + 1, WIDTH), (2 * SIDE, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (VOCABULARY, WIDTH), (VOCABULARY,))
 
     def __init__(self, flat: np.ndarray):
         self.flat, self.parts, at = flat, [], 0
@@ -86,16 +120,17 @@ class Network:
             size = int(np.prod(shape))
             self.parts.append(flat[at : at + size].reshape(shape))
             at += size
-        self.embed, self.place, self.bias, self.out, self.prior = self.parts
+        self.embed, self.place, self.bias, self.out, self.prior, self.split, self.tilt = self.parts
 
     @classmethod
-    def start(cls, corpus_classes: np.ndarray) -> Network:
+    def start(cls, corpus_classes: np.ndarray, tilt: np.ndarray | float = 0.0) -> Network:
         rng = np.random.default_rng(5)
         m = cls(np.zeros(sum(int(np.prod(s)) for s in cls.SHAPES), np.float32))
         m.embed[:] = rng.normal(0, 0.3, m.embed.shape)
         m.place[:] = rng.normal(1, 0.1, m.place.shape)
         m.out[:] = rng.normal(0, 0.1, m.out.shape)
         m.prior[:] = np.log(corpus_classes / corpus_classes.sum())
+        m.tilt[:] = tilt
         return m
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
@@ -111,24 +146,51 @@ class Network:
         z -= np.log(np.exp(z).sum(1, keepdims=True))
         return z, h
 
-    def train(self, around: np.ndarray, target: np.ndarray, grads: list[np.ndarray]) -> None:
+    def turns(self, h: np.ndarray, ids: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, ...]:
+        """Which tokens share a class, their splits and sides, the splits' weights, and the log odds of the sides taken."""
+        deep = np.flatnonzero(corpus.sides[ids, 0])
+        at, side = corpus.splits[ids[deep]], corpus.sides[ids[deep]].astype(np.float32)
+        weights = self.split[at]
+        return deep, at, side, weights, side * (np.einsum("nk,ndk->nd", h[deep], weights) + self.tilt[at])
+
+    def log_within(self, h: np.ndarray, ids: np.ndarray, corpus: Corpus) -> np.ndarray:
+        """log p(id | class, neighbours)."""
+        out = np.zeros(len(ids))
+        deep, _, side, _, odds = self.turns(h, ids, corpus)
+        out[deep] = -(np.logaddexp(0, -odds) * np.abs(side)).sum(1)
+        return out
+
+    def train(self, around: np.ndarray, ids: np.ndarray, corpus: Corpus, grads: list[np.ndarray]) -> None:
         """Adaptive gradient steps over the tokens, in minibatches."""
-        for a in range(0, len(target), MINIBATCH):
-            near, want = around[a : a + MINIBATCH], target[a : a + MINIBATCH]
+        for a in range(0, len(ids), MINIBATCH):
+            near, token = around[a : a + MINIBATCH], ids[a : a + MINIBATCH]
+            want = corpus.klass[token]
             z, h = self.log_classes(near)
             d = np.exp(z)
             d[np.arange(len(want)), want] -= 1
             d /= MINIBATCH
-            ds = (d @ self.out.T) * (1 - h**2)
-            flat_ids, back = np.unique(near.ravel(), return_inverse=True)
+            dh = d @ self.out.T
+            deep, at, side, weights, odds = self.turns(h, token, corpus)
+            if len(deep):
+                dt = -side / (1 + np.exp(np.minimum(odds, 80))) / MINIBATCH
+                dh[deep] += np.einsum("nd,ndk->nk", dt, weights)
+                taken = side.ravel() != 0
+                rows = np.concatenate([dt[:, :, None] * h[deep][:, None, :], dt[:, :, None]], 2).reshape(-1, WIDTH + 1)[taken]
+                nodes, turn = _sums(at.ravel()[taken], rows)
+            ds = dh * (1 - h**2)
             de = (ds[:, None, :] * self.place).reshape(-1, WIDTH)
-            each = np.stack([np.bincount(back.ravel(), de[:, k]) for k in range(WIDTH)], 1)
+            flat_ids, each = _sums(near.ravel().astype(np.uint16), de)
             dp = np.stack([(ds * self.embed[near[:, j]]).sum(0) for j in range(near.shape[1])])
             for part, grad, kept in ((self.place, dp, grads[1]), (self.bias, ds.sum(0), grads[2]), (self.out, h.T @ d, grads[3]), (self.prior, d.sum(0), grads[4])):
                 kept += grad**2
                 part -= (RATE * grad / np.sqrt(kept)).astype(np.float32)
             grads[0][flat_ids] += each**2
             self.embed[flat_ids] -= (RATE * each / np.sqrt(grads[0][flat_ids])).astype(np.float32)
+            if len(deep):
+                grads[5][nodes] += turn[:, :WIDTH] ** 2
+                grads[6][nodes] += turn[:, WIDTH] ** 2
+                self.split[nodes] -= RATE * turn[:, :WIDTH] / np.sqrt(grads[5][nodes])
+                self.tilt[nodes] -= RATE * turn[:, WIDTH] / np.sqrt(grads[6][nodes])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -157,7 +219,7 @@ def count(docs: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> tuple[Network, Corpus]:
     counts = count(docs)
     corpus = Corpus.of(counts)
-    network = Network.start(np.bincount(corpus.klass, counts + 0.5, CLASSES))
+    network = Network.start(np.bincount(corpus.klass, counts + 0.5, CLASSES), corpus.tilt)
     sample = _texts(docs)
     if share < 1:
         sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -173,7 +235,7 @@ def fit(docs: DataFrame, share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> tu
                 for a, b in tk.slices(tk.strings(column)[1], 1 << 18):
                     ids, bounds = tokens(column.slice(a, b - a))
                     order = np.random.default_rng(len(ids)).permutation(len(ids))
-                    own.train(neighbours(ids, bounds)[order], corpus.klass[ids[order]], grads)
+                    own.train(neighbours(ids, bounds)[order], ids[order], corpus, grads)
                     seen += len(ids)
             if seen:
                 blocks = range(0, len(flat), _BLOCK)
@@ -204,8 +266,8 @@ def score(docs: DataFrame, network: Network, corpus: Corpus) -> DataFrame:
         around, each = neighbours(ids, bounds), np.empty(len(ids))
         for a in range(0, len(ids), 1 << 15):
             part = slice(a, a + (1 << 15))
-            z, _ = network.log_classes(around[part])
-            each[part] = z[np.arange(len(z)), corpus.klass[ids[part]]] + corpus.within[ids[part]]
+            z, h = network.log_classes(around[part])
+            each[part] = z[np.arange(len(z)), corpus.klass[ids[part]]] + network.log_within(h, ids[part], corpus)
         sums = np.concatenate([[0.0], np.cumsum(each)])
         n = np.diff(bounds)
         total = sums[bounds[1:]] - sums[bounds[:-1]]

@@ -331,6 +331,26 @@ def test_every_document_trains_the_registered_setting(spark):
         assert (network.embed[ids] != start.embed[ids]).any(1).all()
 
 
+def test_context_tells_words_of_one_class_apart(spark):
+    rng = random.Random(3)
+    left, right = [f"left{a}{b}" for a in EN for b in DE[:6]], [f"right{a}{b}" for a in EN for b in DE[:6]]
+    rows = [(i, " ".join(f"{left[k]} {right[k]}" for k in (rng.randrange(72) for _ in range(60)))) for i in range(400)]
+    network, corpus = masked_lm.fit(frame(spark, rows))
+    one = lambda w: int(masked_lm.tokens(pa.array([w]))[0][0])
+    edge, gains = masked_lm.VOCABULARY, []
+    for k in range(72):
+        near = np.array([[edge, one(left[k]), edge, edge]], np.int32)
+        same = [x for x in map(one, right) if corpus.klass[x] == corpus.klass[one(right[k])] and x != one(right[k])]
+        h = network.hidden(near)
+        p = lambda x: float(network.log_within(h, np.array([x]), corpus)[0] - corpus.within[x])
+        gains += [p(one(right[k])) - p(x) for x in same]
+    assert len(gains) > 20 and np.mean(gains) > 0.5
+    for c in range(masked_lm.CLASSES):  # within a class the shares sum to one
+        ids = np.flatnonzero(corpus.klass == c)
+        if len(ids):
+            assert math.isclose(np.exp(network.log_within(np.repeat(h, len(ids), 0), ids, corpus)).sum(), 1, rel_tol=1e-4)
+
+
 def test_fingerprints_do_not_depend_on_place():
     data = np.frombuffer(b"abcabcab", np.uint8)
     p = textkit.byte_prefix(data)
