@@ -39,7 +39,7 @@ def _hashes(column: pa.Array) -> tuple[tk.Words, np.ndarray]:
     raw, offsets = tk.strings(column)
     data = tk.LOWER[raw]
     words = tk.Words(data, offsets, tk.ALNUM)
-    return words, tk.byte_prefix(data).span(words.starts, words.ends)
+    return words, tk.Bytes(data).span(words.starts, words.ends)
 
 
 def _item_words(items: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = tk.strings(column)
     data = tk.LOWER[data]
     words = tk.Words(data, offsets, tk.WORD)
-    h = tk.byte_prefix(data).span(words.starts, words.ends)
+    h = tk.Bytes(data).span(words.starts, words.ends)
     return (h >> np.uint64(64 - (VOCABULARY.bit_length() - 1))).astype(np.int32), words.bounds
 
 

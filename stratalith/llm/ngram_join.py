@@ -77,15 +77,15 @@ def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = tk.strings(column)
     data = tk.LOWER[data]
     w = tk.Words(data, offsets, tk.WORD)
-    h = tk.byte_prefix(data).span(w.starts, w.ends)
-    prefix = tk.Prefix(h)
+    h = tk.Bytes(data).span(w.starts, w.ends)
     at = w.windows(words)
     rows = w.rows()[at]
-    grams = prefix.span(at, at + words)
-    short = np.flatnonzero((w.counts > 0) & (w.counts < words))
-    if len(short):
-        grams = np.concatenate([grams, prefix.span(w.bounds[short], w.bounds[short + 1])])
-        rows = np.concatenate([rows, short])
+    grams = tk.grams(h, words)[at]
+    for k in range(1, words):  # texts with fewer words
+        short = np.flatnonzero(w.counts == k)
+        if len(short):
+            grams = np.concatenate([grams, tk.grams(h, k)[w.bounds[short]]])
+            rows = np.concatenate([rows, short])
     order = np.lexsort((grams, rows))
     grams, rows = grams[order], rows[order]
     new = np.ones(len(grams), bool)

@@ -29,7 +29,9 @@ from . import storage, textkit as tk
 
 CAPACITY = 2048
 #: Pieces of words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
+#: Parts that the tokenizer is handed at a time.
+LEARN_PARTS = 4096
 #: Pieces of a rank group, about.
 GROUP_ROWS = 50_000
 
@@ -58,7 +60,10 @@ def _parts(data: np.ndarray, words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Token ids of slices of texts, with the ids of known word parts kept; white space parts words."""
+    """Token ids of slices of texts, with the ids of known word parts kept; white space parts words.
+
+    What is kept is a few arrays: ``cache`` parts of about 16 bytes and their ids.
+    """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -69,19 +74,21 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.cuts = [0]
-
-    def _learn(self, texts: list[str], keys: list[int]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[key] = len(self.cuts) - 1
-            self.cuts.append(self.used)
+        self.keys, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.flat = np.empty(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Keep the ids of new parts; keys are sorted."""
+        found, sizes = [self.flat], []
+        for k in range(0, len(texts), LEARN_PARTS):
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts[k : k + LEARN_PARTS], add_special_tokens=False)]
+            sizes += map(len, ids)
+            found.append(np.fromiter((x for own in ids for x in own), np.uint32, sum(map(len, ids))))
+        size = np.array(sizes, np.int32)
+        begin = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]])
+        self.flat = np.concatenate(found)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin.astype(np.int32)), np.insert(self.size, at, size)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in order, each row ended by 0, and the row bounds."""
@@ -89,19 +96,18 @@ class Encoder:
         data = tk.LOWER[data]  # the tokenizer lower-cases
         starts, ends = _parts(data, tk.Words(data, offsets, tk.WORD))
         in_row = np.searchsorted(starts, offsets)
-        h = tk.byte_prefix(data).span(starts, ends)
-        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.limit:
+        keys, first, back = np.unique(tk.Bytes(data).span(starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > self.limit:
             self._clear()
-        names = keys.tolist()
-        new = [k for k, key in enumerate(names) if key not in self.known]
-        if new:
-            raw = data.tobytes()
-            at = first[new]
-            self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], [names[k] for k in new])
-        slot = np.fromiter((self.known[key] for key in names), np.int64, len(names))
-        cuts = np.asarray(self.cuts)
-        begin, size = cuts[slot][back], (cuts[slot + 1] - cuts[slot])[back]
+        slot = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        held = slot < len(self.keys)
+        new[held] = self.keys[slot[held]] != keys[held]
+        if new.any():
+            raw, at = data.tobytes(), first[new]
+            self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            slot = np.searchsorted(self.keys, keys)
+        begin, size = self.begin[slot][back].astype(np.int64), self.size[slot][back].astype(np.int64)
         row = tk.per_row(size, in_row) + 1
         bounds = np.concatenate([[0], np.cumsum(row)])
         out = np.zeros(int(bounds[-1]), "<u4")
@@ -118,20 +124,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document as pieces of at most ``capacity`` ids."""
 
-    def f(batch):
-        ids, bounds = _encoder(path).encode(batch.column(1))
+    def f(batch, encoder):
+        ids, bounds = encoder.encode(batch.column(1))
         size = np.diff(bounds)
         per = -(-size // capacity)
         rows = np.repeat(np.arange(len(size)), per)
@@ -143,7 +140,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)), np.int64, len(rows))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return tk.map_texts(docs, "doc_id long, piece int, start long, length long, ids_crc32 long", f, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")])
+    # an encoder lives as long as its task: reused workers keep nothing of it
+    return tk.map_texts(docs, "doc_id long, piece int, start long, length long, ids_crc32 long", f, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")], lambda: Encoder(path))
 
 
 class CapacityTree:

@@ -9,7 +9,11 @@ smaller id, or earlier in the same text). All strings are judged on the input.
    around it (its context: all LENGTH-strings that hold the anchor).
 2. Copies. Anchors are dealt by fingerprint and stream in order. Of equal contexts only the
    first goes on; every string of the others starts earlier elsewhere. Anchors that stand
-   once, or with one context, need nothing more.
+   once, or with one context, need nothing more. An anchor that stands ``HOT_IN_SLICE`` times
+   in a slice of texts is hot: its task passes on the first of equal contexts only, deals them
+   by context over ``PARTS`` parts, and marks the anchor, so that rows of other tasks join
+   them; firsts are then found by an aggregation over (anchor, context). So neither a common
+   line nor a large group of copies meets in one task.
 3. Merge. The contexts of an anchor are aligned at it. The rows of a task come as shards.
    Each shard has its positional Burrows-Wheeler transform: at a column, its strings in
    the order of the bytes before that column, last byte first. The transforms are merged
@@ -25,8 +29,8 @@ smaller id, or earlier in the same text). All strings are judged on the input.
 
 Null and empty texts have no bytes and nothing to remove. Rows with a null id are returned
 as they are and count as no earlier text. Rows with the same id count as one place: a
-repeated row does not remove its own copy. Extra columns are kept by ``remove`` and ignored
-by ``report``; an empty table gives an empty table.
+repeated row does not remove its own copy. Extra columns, whatever they are called, are kept
+by ``remove`` and ignored by ``report``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import storage, textkit as tk
 
@@ -44,6 +48,8 @@ LENGTH, ANCHOR = 100, 24
 MOST_CONTEXTS = 100_000
 #: Contexts of a task, about.
 TASK_CONTEXTS = 50_000
+#: Places of an anchor in a slice of texts that make it hot, the parts its contexts are dealt to, and the hot contexts a task remembers.
+HOT_IN_SLICE, PARTS, REMEMBERED = 16, 256, 200_000
 _PAD = 0xFF  # stands in no UTF-8 text
 _MOST = np.uint64((1 << 64) - 1)
 
@@ -57,14 +63,14 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(behind[:n], ahead[w - 1 : n + w - 1])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, tk.Prefix]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, tk.Bytes]:
     """Places of the anchors of a slice, their rows and fingerprints."""
-    prefix = tk.byte_prefix(data)
-    h = prefix.windows(k)
+    spans = tk.Bytes(data)
+    h = spans.windows(k)
     n, w = len(h), length - k + 1
     none = np.empty(0, np.int64)
     if not n:
-        return none, none, np.empty(0, np.uint64), prefix
+        return none, none, np.empty(0, np.uint64), spans
     left = np.repeat(offsets[1:], np.diff(offsets))[:n] - np.arange(n)
     h = np.where(left >= k, h, _MOST)
     size = (-(-n // w) + 1) * w
@@ -75,88 +81,152 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     y = np.zeros((-(-(n + w) // w) + 1) * w, np.uint64)
     y[w - 1 : w - 1 + n] = np.where(left >= length, least, 0)
     at = np.flatnonzero((_slide(y, w, np.maximum)[:n] == h) & (left >= k))
-    return at, np.searchsorted(offsets, at, "right") - 1, h[at], prefix
+    return at, np.searchsorted(offsets, at, "right") - 1, h[at], spans
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
-def find_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """anchor, context (fingerprints), doc, at."""
+#: The context that marks a hot anchor for the part of rows that are not dealt by context, with place -1; it comes first in order.
+_MARK = np.iinfo(np.int64).min
 
-    def f(batch):
+
+def find_anchors(docs: DataFrame, length: int, k: int, hot: int = HOT_IN_SLICE) -> DataFrame:
+    """anchor, part, context (fingerprints), doc, at; part is 0, over 0 where the anchor is hot, or -1 for copies (of no anchor)."""
+
+    def f(batch, known):
         data, offsets = tk.strings(batch.column(1))
-        at, row, h, prefix = anchors(data, offsets, length, k)
+        at, row, h, spans = anchors(data, offsets, length, k)
         low, high = np.maximum(at - (length - k), offsets[row]), np.minimum(at + length, offsets[row + 1])
         with np.errstate(over="ignore"):
-            context = tk.mix(prefix.span(low, high) + (at - low).astype(np.uint64))
-        doc = batch.column(0).to_numpy()[row]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array((at - offsets[row]).astype(np.int32))], ["anchor", "context", "doc", "at"])
-
-    return tk.map_texts(_texts(docs), "anchor long, context long, doc long, at int", f, ["doc_id", "text"])
-
-
-_COPY, _MERGE, _DEAL = 0, 1, 2
+            context = tk.mix(spans.span(low, high) + (at - low).astype(np.uint64)).view(np.int64)
+        doc, at, anchor = batch.column(0).to_numpy()[row], at - offsets[row], h.view(np.int64)
+        part = np.zeros(len(at), np.int32)
+        names, back, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        busy = np.flatnonzero(count[back] >= hot)
+        if len(busy):
+            order = busy[np.lexsort((at[busy], doc[busy], context[busy], anchor[busy]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1])
+            first = order[new]
+            head = first[np.cumsum(new) - 1]
+            part[order] = 1 + (context[order] & (PARTS - 1)).astype(np.int32)
+            late = (doc[order] != doc[head]) | (at[order] != at[head])
+            for i, a, c, d, p in zip(first.tolist(), anchor[first].tolist(), context[first].tolist(), doc[first].tolist(), at[first].tolist(), strict=True):
+                before = known.get((a, c))
+                if before is not None and before < (d, p):
+                    part[i] = -1
+                elif before is not None or len(known) < REMEMBERED:
+                    known[a, c] = d, p
+            part[order[late]] = -1
+            with np.errstate(over="ignore"):  # copies are dealt evenly
+                gone = part < 0
+                anchor = np.where(gone, tk.mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64), anchor)
+            marks = names[count >= hot]
+            anchor, part, context = np.concatenate([anchor, marks]), np.concatenate([part, np.zeros(len(marks), np.int32)]), np.concatenate([context, np.full(len(marks), _MARK)])
+            doc, at = np.concatenate([doc, np.zeros(len(marks), np.int64)]), np.concatenate([at, np.full(len(marks), -1)])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part), pa.array(context), pa.array(doc), pa.array(at.astype(np.int32))], ["anchor", "part", "context", "doc", "at"])
+
+    return tk.map_texts(_texts(docs), "anchor long, part int, context long, doc long, at int", f, ["doc_id", "text"], dict)
+
+
+_COPY, _MERGE, _HOT = 0, 1, 2
+_SIFTED = ["kind", "anchor", "context", "doc", "at"]
 
 
 def sift(found: DataFrame, most: int) -> DataFrame:
-    """kind, doc, at: anchors whose strings all start earlier (_COPY), first contexts to merge (_MERGE) or to deal by string (_DEAL)."""
+    """kind, anchor, context, doc, at: anchors whose strings all start earlier (_COPY), first contexts to merge (_MERGE) or of a hot anchor (_HOT).
+
+    Only hot rows name anchor and context.
+    """
 
     def f(batches):
-        held = [np.empty(0, np.int64)] * 4
-        hot: int | None = None  # the anchor whose contexts are dealt by string
+        held = [np.empty(0, np.int64)] * 5
+        hot: tuple | None = None  # the (anchor, part) in work that is known as hot
 
-        def batch(kind, doc, at):
-            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(doc)).copy() if np.isscalar(kind) else kind.astype(np.int32)), pa.array(doc), pa.array(at.astype(np.int32))], ["kind", "doc", "at"])
+        def batch(kind, rows, named):
+            n = len(rows[3])
+            names = (rows[0], rows[2]) if named else (np.zeros(n, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(names[0]), pa.array(names[1]), pa.array(rows[3]), pa.array(rows[4].astype(np.int32))], _SIFTED)
 
         def split(rows):
-            """First rows of their (anchor, context), and copies of them elsewhere."""
-            anchor, context, doc, at = rows
+            """First rows of their (anchor, part, context), and copies of them elsewhere."""
+            anchor, part, context, doc, at = rows
             new = np.ones(len(anchor), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
+            new[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | (context[1:] != context[:-1])
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            copy = ~new & ((doc != doc[head]) | (at != at[head]))
-            return new, copy
+            copy = ~new & ((doc != doc[head]) | (at != at[head])) & (at >= 0)
+            copy |= part < 0
+            return new & (part >= 0), copy
 
         def closed(rows):
             """Rows of whole buckets."""
             new, copy = split(rows)
             if copy.any():
-                yield batch(_COPY, rows[2][copy], rows[3][copy])
-            anchor, _, doc, at = (x[new] for x in rows)
-            head = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-            size = np.diff(np.append(np.flatnonzero(head), len(anchor)))
-            several = np.repeat((size > 1) & (size <= most), size)
-            many = np.repeat(size > most, size) | (anchor == hot if hot is not None else False)
-            take = several | many
-            if take.any():
-                yield batch(np.where(many, _DEAL, _MERGE)[take], doc[take], at[take])
+                yield batch(_COPY, [x[copy] for x in rows], False)
+            rows = [x[new] for x in rows]
+            anchor, part, _, _, at = rows
+            if not len(anchor):
+                return
+            begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])]))
+            size = np.diff(np.append(begin, len(anchor)))
+            warm = (at[begin] < 0) | (part[begin] > 0) | (size > most)
+            if hot is not None:
+                warm |= (anchor[begin] == hot[0]) & (part[begin] == hot[1])
+            real = at >= 0
+            many = np.repeat(warm, size) & real
+            several = np.repeat(~warm & (size > 1), size)
+            if many.any():
+                yield batch(_HOT, [x[many] for x in rows], True)
+            if several.any():
+                yield batch(_MERGE, [x[several] for x in rows], False)
 
         for b in batches:
             rows = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
             if not len(rows[0]):
                 continue
-            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
                 yield from closed([x[:cut] for x in rows])
             held = [x[cut:] for x in rows]
-            if hot is not None and held[0][0] != hot:
+            if hot is not None and (held[0][0], held[1][0]) != hot:
                 hot = None
             if len(held[0]) > 4 * most:  # a bucket in work: only firsts are held on to, and no more than most of them
                 new, copy = split(held)
                 if copy.any():
-                    yield batch(_COPY, held[2][copy], held[3][copy])
+                    yield batch(_COPY, [x[copy] for x in held], False)
+                marked = held[4][0] < 0
                 held = [x[new] for x in held]
-                if len(held[0]) > most:
-                    hot = int(held[0][0])
-                    yield batch(_DEAL, held[2][:-1], held[3][:-1])
+                if len(held[0]) > most or marked:
+                    hot = int(held[0][0]), int(held[1][0])
+                    real = held[4] >= 0
+                    real[-1] = False
+                    yield batch(_HOT, [x[real] for x in held], True)
                     held = [x[-1:] for x in held]
         if len(held[0]):
             yield from closed(held)
 
-    dealt = found.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "at")
-    return dealt.mapInArrow(f, "kind int, doc long, at int")
+    dealt = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "context", "doc", "at")
+    return dealt.mapInArrow(f, "kind int, anchor long, context long, doc long, at int")
+
+
+def settle(hot: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the contexts of hot anchors: copies, firsts to merge and firsts to deal by string (doc, at).
+
+    Equal contexts meet by aggregation. Anchors with more than ``most`` contexts are at most
+    one in so many rows, so their list is sent to all tasks; no other key has more rows.
+    """
+    first = storage.store(hot.groupBy("anchor", "context").agg(F.min(F.struct("doc", "at")).alias("top"), F.count("*").alias("n")), "firsts")
+    again = first.where("n > 1").select(F.col("anchor").alias("_a"), F.col("context").alias("_c"), "top")
+    copies = hot.join(again, (F.col("anchor") == F.col("_a")) & (F.col("context") == F.col("_c"))).where("doc <> top.doc or at <> top.at").select("doc", "at")
+    sizes = storage.store(first.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    large = F.broadcast(sizes.where(F.col("m") > most).select("_a"))
+    small = sizes.where(F.col("m") <= most).select("_a")
+    place = [F.col("top.doc").alias("doc"), F.col("top.at").alias("at")]
+    merged = first.join(large, F.col("anchor") == F.col("_a"), "left_anti").join(small, F.col("anchor") == F.col("_a"), "left_semi").select(*place)
+    return copies, merged, first.join(large, F.col("anchor") == F.col("_a"), "left_semi").select(*place)
 
 
 def cut_contexts(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
@@ -171,7 +241,7 @@ def cut_contexts(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> Dat
         at = batch.column(1).flatten().to_numpy().astype(np.int64)
         row = np.repeat(np.arange(batch.num_rows), per)
         spot = offsets[row] + at
-        h = tk.byte_prefix(data).span(spot, spot + k)
+        h = tk.Bytes(data).span(spot, spot + k)
         doc = batch.column(0).to_numpy()[row]
         for a in range(0, len(spot), 8192):
             part = slice(a, a + 8192)
@@ -315,7 +385,7 @@ def deal_strings(contexts: DataFrame, length: int, k: int) -> DataFrame:
             n = len(doc)
             pads = np.concatenate([np.zeros((n, 1), np.int32), np.cumsum(body.reshape(n, width) == _PAD, 1)], 1)
             row, begin = np.nonzero(pads[:, length:] == pads[:, : width - length + 1])
-            h = tk.byte_prefix(body).span(row * width + begin, row * width + begin + length)
+            h = tk.Bytes(body).span(row * width + begin, row * width + begin + length)
             place = at[row] - reach + begin
             order = np.lexsort((place, doc[row], h))
             h, d, p = h[order], doc[row][order], place[order]
@@ -329,17 +399,21 @@ def deal_strings(contexts: DataFrame, length: int, k: int) -> DataFrame:
     return contexts.mapInArrow(f, "string long, doc long, a long")
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most: int = MOST_CONTEXTS) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most: int = MOST_CONTEXTS, hot: int = HOT_IN_SLICE) -> DataFrame:
     """doc, a, b: byte runs covered by strings that start earlier; runs may overlap and reach beyond the text."""
-    sifted = storage.store(sift(find_anchors(docs, length, k), most), "sifted")
+    sifted = storage.store(sift(find_anchors(docs, length, k, hot), most), "sifted")
     _collect_garbage(docs)
     kinds = {r["kind"]: r["count"] for r in sifted.groupBy("kind").count().collect()}
-    runs = sifted.where(F.col("kind") == _COPY).select("doc", (F.col("at") - (length - k)).cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b"))
-    if n := kinds.get(_MERGE, 0):
-        contexts = cut_contexts(docs, sifted.where(F.col("kind") == _MERGE), length, k)
+    copies, merged, dealt = (sifted.where(F.col("kind") == k).select("doc", "at") for k in (_COPY, _MERGE, -1))
+    if kinds.get(_HOT, 0):
+        more = settle(sifted.where(F.col("kind") == _HOT).select("anchor", "context", "doc", "at"), most)
+        copies, merged, dealt = copies.unionByName(more[0]), storage.store(merged.unionByName(more[1]), "to_merge"), storage.store(more[2], "to_deal")
+    runs = copies.select("doc", (F.col("at") - (length - k)).cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b"))
+    if n := merged.count():
+        contexts = cut_contexts(docs, merged, length, k)
         runs = runs.unionByName(storage.store(merge_contexts(contexts, n, length, k), "merged"))
-    if kinds.get(_DEAL, 0):
-        strings = storage.store(deal_strings(cut_contexts(docs, sifted.where(F.col("kind") == _DEAL), length, k), length, k), "strings")
+    if kinds.get(_HOT, 0) and dealt.limit(1).count():
+        strings = storage.store(deal_strings(cut_contexts(docs, dealt, length, k), length, k), "strings")
         least = strings.where("string is not null").groupBy(F.col("string").alias("_s")).agg(F.min(F.struct("doc", "a")).alias("top"))
         late = strings.where("string is not null").join(least, F.col("string") == F.col("_s")).where((F.col("doc") != F.col("top.doc")) | (F.col("a") != F.col("top.a")))
         marked = strings.where("string is null").select("doc", "a").unionByName(late.select("doc", "a"))
@@ -374,13 +448,18 @@ def _apply(size: int, runs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _removed(docs: DataFrame, schema: str, columns: list, build, **how) -> DataFrame:
-    joined = docs.join(_spans(docs, **how), F.col("doc_id").cast("long") == F.col("_doc"), "left")
+def _removed(docs: DataFrame, schema, columns: list, build, **how) -> DataFrame:
+    """build over the given columns, the runs and the text of every row; columns are told apart by place, whatever their names."""
+    at = {name: k for k, name in reversed(list(enumerate(docs.columns)))}
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    ids, text = F.col(f"c{at['doc_id']}").cast("long"), F.col(f"c{at['text']}").cast("string")
+    spans = _spans(numbered.select(ids.alias("doc_id"), text.alias("text")), **how)
+    joined = numbered.join(spans, ids == F.col("_doc"), "left")
 
     def f(batch):
         yield build(batch, [(t, [] if r is None else _apply(len(t), r)) for t, r in zip((x.as_buffer() or b"" for x in batch.column(batch.num_columns - 1).cast(pa.binary())), _runs(batch.column(batch.num_columns - 2)), strict=True)])
 
-    return tk.map_texts(joined, schema, f, [*columns, "runs", F.col("text").cast("string").alias("_text")])
+    return tk.map_texts(joined, schema, f, [*(F.col(f"c{at[c]}") if isinstance(c, str) else F.col(f"c{c}") for c in columns), "runs", text.alias("_text")])
 
 
 def _runs(column: pa.ListArray):
@@ -408,7 +487,8 @@ def report(docs: DataFrame, **how) -> DataFrame:
             sha.append(hashlib.sha256(_rest(text, cuts)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _removed(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", [F.col("doc_id").cast("long").alias("doc_id")], build, **how)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _removed(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"], build, **how)
 
 
 def remove(docs: DataFrame, **how) -> DataFrame:
@@ -416,17 +496,20 @@ def remove(docs: DataFrame, **how) -> DataFrame:
 
     A character of which only some bytes are left is dropped. Null texts stay null.
     """
-    others = [c for c in docs.columns if c != "text"]
-    rest = docs.select(*others).schema
+    fields = docs.schema.fields
+    names = [f.name for f in fields]
+    text = names.index("text")
+    others = [k for k in range(len(fields)) if k != text]
 
     def build(batch, texts):
         kept = [_rest(t, c).decode("utf-8", "ignore") if c else None for t, c in texts]
         whole = batch.column(batch.num_columns - 1).to_pylist()
-        text = [w if k is None else k for w, k in zip(whole, kept, strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), pa.array(text, pa.string())], [*others, "text"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.fields), "text string"])
-    out = _removed(docs, schema, [F.col(f"`{c}`") for c in others], build, **how)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        new = [w if k is None else k for w, k in zip(whole, kept, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), pa.array(new, pa.string())], [f"c{k}" for k in [*others, text]])
+
+    schema = T.StructType([*(T.StructField(f"c{k}", fields[k].dataType) for k in others), T.StructField(f"c{text}", T.StringType())])
+    out = _removed(docs, schema, others, build, **how)
+    if "n_chars" in names:
+        n, t = f"c{names.index('n_chars')}", f"c{text}"
+        out = out.withColumn(n, F.when(F.col(t).isNull(), F.col(n)).otherwise(F.length(t)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(f"c{k}" for k in range(len(fields)))).toDF(*names)

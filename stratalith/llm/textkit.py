@@ -4,44 +4,31 @@ Text columns reach Python as Arrow buffers. Everything here works on those bytes
 slices of bounded size (``slices``), so a worker's memory depends on the slice limit and
 on the longest single text, never on the number of rows.
 
-Fingerprints are polynomial hashes modulo 2**64 over a table of random 64-bit symbols,
-finished with a bit mixer. A substring's fingerprint does not depend on where it stands,
-so one prefix sum answers any substring.
+Fingerprints absorb 8 bytes at a time by ``absorb``: a bijection of the state for every input
+and of the input for every state, whose multiplications and shifts no polynomial identity
+survives (a polynomial modulo 2**64 is equal for a Thue-Morse string and its complement,
+whatever its base). The length is part of the state, so a span's fingerprint depends on its
+bytes alone. Different spans collide by chance only, with odds of 2**-64 a pair.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Bytes of text that are expanded to numpy columns at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of a span that are absorbed one after the other; longer ones go block by block, then by their blocks' fingerprints.
+BLOCK_BYTES = 512
 
-_BASE = 0x9E3779B97F4A7C15 | 3
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SYMBOLS = np.random.Generator(np.random.PCG64(20260417)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            step = np.full(size, np.uint64(_BASE))
-            step[0] = 1
-            _powers = np.cumprod(step, dtype=np.uint64)
-            step = np.full(size, np.uint64(_INVERSE))
-            step[0] = 1
-            _inverses = np.cumprod(step, dtype=np.uint64)
-    return _powers[:n], _inverses[:n]
+_SEED, _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: What is left of a word of 8 bytes of which the first 0..8 belong to a span.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,32 +41,63 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-class Prefix:
-    """Prefix sums over a column of symbols; span(a, b) fingerprints symbols a..b-1."""
+def absorb(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The state after an input of 8 bytes."""
+    with np.errstate(over="ignore"):
+        h = (h ^ x) * _A
+        h ^= h >> np.uint64(32)
+        h *= _B
+        h ^= h >> np.uint64(29)
+        return h
+
 
-    def __init__(self, symbols: np.ndarray):
-        powers, self.inverses = _grow(len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(symbols * powers[: len(symbols)], dtype=np.uint64, out=self.sums[1:])
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of all runs of k fingerprints."""
+    n = max(0, len(h) - k + 1)
+    out = np.full(n, _SEED + np.uint64(k))
+    for j in range(k):
+        out = absorb(out, h[j : j + n])
+    return mix(out)
+
+
+class Bytes:
+    """Fingerprints of spans of a column of bytes."""
+
+    def __init__(self, data: np.ndarray):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Fingerprints of bytes a..b-1."""
+        size = b - a
         with np.errstate(over="ignore"):
-            raw = (self.sums[b] - self.sums[a]) * self.inverses[a]
-            return mix(raw + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            h = mix(size.astype(np.uint64) + _SEED)
+        long = size > BLOCK_BYTES
+        if long.any():
+            at = np.flatnonzero(long)
+            per = -(-size[at] // BLOCK_BYTES)
+            cuts = np.concatenate([[0], np.cumsum(per)])
+            first = np.repeat(a[at] - BLOCK_BYTES * cuts[:-1], per) + BLOCK_BYTES * np.arange(cuts[-1])
+            blocks = self.span(first, np.minimum(first + BLOCK_BYTES, np.repeat(b[at], per)))
+            h[at] = absorb(h[at], Bytes(blocks.view(np.uint8)).span(8 * cuts[:-1], 8 * cuts[1:]))
+        live = np.flatnonzero((size > 0) & ~long)
+        at, left = a[live], size[live]
+        while len(live):
+            h[live] = absorb(h[live], self.words[at] & _FIRST[np.minimum(left, 8)])
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        return mix(h)
 
     def windows(self, k: int) -> np.ndarray:
-        """Fingerprints of all length-k windows."""
-        n = len(self.sums) - 1
-        if n < k:
-            return np.empty(0, np.uint64)
+        """Fingerprints of all windows of k bytes, as ``span`` gives them."""
+        n = max(0, len(self.words) - k)
         with np.errstate(over="ignore"):
-            raw = (self.sums[k:] - self.sums[: n + 1 - k]) * self.inverses[: n + 1 - k]
-            return mix(raw + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-
-
-def byte_prefix(data: np.ndarray) -> Prefix:
-    return Prefix(_SYMBOLS[data])
+            h = np.full(n, mix(np.uint64(k) + _SEED))
+        for j in range(0, k, 8):
+            x = self.words[j : j + n]
+            h = absorb(h, x if k - j >= 8 else x & _FIRST[k - j])
+        return mix(h)
 
 
 def table(pattern_bytes) -> np.ndarray:
@@ -160,13 +178,43 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def map_texts(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], columns: list[str]) -> DataFrame:
-    """Run f over slices of bounded bytes of the given columns; the text is the last column."""
+def release() -> None:
+    """Give freed memory back to the system: a worker that later stages reuse keeps nothing."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_texts(df: DataFrame, schema: str | T.StructType, f: Callable[..., Iterator[pa.RecordBatch]], columns: list[str | Column], state: Callable | None = None) -> DataFrame:
+    """Run f over slices of bounded bytes of the given columns; the text is the last column.
+
+    ``state`` makes what f gets beside the slices, once a task.
+    """
 
     def run(batches):
+        own = () if state is None else (state(),)
         for batch in batches:
             offsets = strings(batch.column(batch.num_columns - 1))[1]
             for a, b in slices(offsets):
-                yield from f(batch.slice(a, b - a))
+                yield from f(batch.slice(a, b - a), *own)
+        del own
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, text: str, verdict: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of df whose own text the verdict keeps, with all their columns, whatever these are called."""
+    schema = df.schema
+
+    def f(batch):
+        kept = np.flatnonzero(verdict(batch.column(batch.num_columns - 1)))
+        if len(kept):
+            yield batch.select(range(batch.num_columns - 1)).take(pa.array(kept))
+
+    # columns go through Python by place: a name may stand twice
+    numbered = df.toDF(*(f"c{k}" for k in range(len(schema))))
+    at = [field.name for field in schema].index(text)
+    columns = [F.col(f"c{k}") for k in range(len(schema))]
+    out = map_texts(numbered, T.StructType([T.StructField(f"c{k}", field.dataType) for k, field in enumerate(schema)]), f, [*columns, F.col(f"c{at}").cast("string").alias("text")])
+    return out.toDF(*(field.name for field in schema))

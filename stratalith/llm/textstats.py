@@ -41,8 +41,8 @@ class Stats:
         data, offsets = tk.strings(column)
         n = len(offsets) - 1
         words = self.words = tk.Words(data, offsets, tk.WORD)
-        prefix = tk.byte_prefix(data)
-        self.hashes = prefix.span(words.starts, words.ends)
+        spans = tk.Bytes(data)
+        self.hashes = spans.span(words.starts, words.ends)
         rows = words.rows()
         inside = tk.WORD[data]
         self.n_words = words.counts.astype(np.int64)
@@ -57,13 +57,13 @@ class Stats:
         held = np.concatenate([[0], np.cumsum(inside)])
         full = held[ends] > held[starts]
         starts, ends, of = starts[full], ends[full], of[full]
-        _, first = np.unique(_by_row(prefix.span(starts, ends), of), return_index=True)
+        _, first = np.unique(_by_row(spans.span(starts, ends), of), return_index=True)
         self.n_dup_lines = np.bincount(of, minlength=n) - np.bincount(of[first], minlength=n)
 
         at = words.windows(REPEAT_WINDOW)
         self.n_repeat_words = np.zeros(n, np.int64)
         if len(at):
-            key = _by_row(tk.Prefix(self.hashes).windows(REPEAT_WINDOW)[at], rows[at])
+            key = _by_row(tk.grams(self.hashes, REPEAT_WINDOW)[at], rows[at])
             order = np.argsort(key)
             same = np.zeros(len(key) + 1, bool)
             same[1:-1] = key[order[1:]] == key[order[:-1]]

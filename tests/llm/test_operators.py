@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stratalith.llm import decontaminate, html_extract, language_id, masked_lm, packing, quality_fm, quality_rules, suffix_dedup, textkit
+from stratalith.llm import decontaminate, html_extract, language_id, masked_lm, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, textkit
 from stratalith.llm.textstats import Stats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc long, word string"
@@ -96,11 +96,11 @@ def mixed_texts(rng):
     return rows
 
 
-@pytest.mark.parametrize("most", [100_000, 3])
-def test_dedup_equals_brute_force(spark, most):
+@pytest.mark.parametrize(("most", "hot"), [(100_000, 16), (3, 16), (100_000, 2), (3, 2), (3, 10**9)])
+def test_dedup_equals_brute_force(spark, most, hot):
     rows = mixed_texts(random.Random(3)) + [(500, "ab" * 400), (501, "é" * 300), (502, "ab" * 60), (503, None), (504, ""), (505, "z" * 99), (506, "z" * 100), (507, "z" * 101)]
     rows += [(508, "same text " * 20), (508, "same text " * 20)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.report(frame(spark, rows), most=most).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.report(frame(spark, rows), most=most, hot=hot).collect()}
     assert got == plain_dedup(rows, 100)
 
 
@@ -351,8 +351,35 @@ def test_context_tells_words_of_one_class_apart(spark):
             assert math.isclose(np.exp(network.log_within(np.repeat(h, len(ids), 0), ids, corpus)).sum(), 1, rel_tol=1e-4)
 
 
-def test_fingerprints_do_not_depend_on_place():
-    data = np.frombuffer(b"abcabcab", np.uint8)
-    p = textkit.byte_prefix(data)
-    a, b = p.span(np.array([0, 3]), np.array([3, 6]))
-    assert a == b and len(set(p.windows(3).tolist())) == 3
+def test_fingerprints_are_of_the_bytes_alone():
+    data = np.frombuffer(b"abcabcab" + b"q" * 70_000 + b"abc" + b"q" * 70_000, np.uint8)
+    p = textkit.Bytes(data)
+    a = p.span(np.array([0, 3, 70_008, 8, 70_011, 8, 8]), np.array([3, 6, 70_011, 70_008, 140_011, 600, 601]))
+    assert a[0] == a[1] == a[2] and a[3] == a[4] and len(set(a.tolist())) == 4
+    for k in (3, 8, 24, 100):
+        at = np.arange(200)
+        assert (p.windows(k)[:200] == p.span(at, at + k)).all()
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_thue_morse_words_and_texts_are_told_apart(spark):
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    p = textkit.Bytes(np.frombuffer((one + two).encode(), np.uint8))
+    assert len(set(p.span(np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
+    words = [" ".join(x + "z" for x in t) for t in (one, two)]
+    rows = [(1, one), (2, two), (3, one + " " + two), (4, words[0]), (5, words[1])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.report(frame(spark, rows)).collect()}
+    assert got == plain_dedup(rows, 100)
+    t = packing.Encoder(packing.tokenizer_path()).tokenizer
+    out = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pack(frame(spark, rows)).collect()}
+    for i, text in rows:
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert all(out[i, k // 2048] == zlib.crc32(ids[k : k + 2048].tobytes()) for k in range(0, len(ids), 2048))
+    items = [(1, one), (2, " ".join(words[0].split()[:700]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.digest(decontaminate.hits(frame(spark, rows), bench)).collect()}
+    assert got == {i: decontaminate.plain(t, items) for i, t in rows}
+    assert [r["component_id"] for r in ngram_join.join(frame(spark, [(1, one), (2, two), (3, f"{one} x y"), (4, f"{two} x y")])).orderBy("doc_id").collect()] == [1, 2, 3, 4]
