@@ -12,27 +12,36 @@ prefix of a window, in the global order of words by rarity, is its single rarest
    end after its last is dropped (length bound).
 4. Survivors are verified on all words in order.
 
-Documents are never shuffled: the index goes to the documents in blocks of at most
-``block_words`` words, so what is sent at a time is bounded whatever the benchmark's size.
-
-Null or empty texts have no words and are never hit; items without words are ignored;
-repeated items and repeated item ids count once per id; extra columns are ignored.
+Documents are never shuffled. The items' words are a stored table; it is read in blocks of at
+most ``block_words`` words (one longer item is a block of its own), and each block's index is
+broadcast, meets all documents and is dropped. So neither the driver
+nor a task ever holds more than two blocks, whatever the benchmark's size; what several blocks
+find meets by document.
+
+Null or empty texts have no words and are never hit; items without words and items with a
+null id are ignored; repeated items and repeated item ids count once per id; extra columns,
+whatever they are called, are ignored by ``hits`` and kept by ``remove_contaminated``, which
+judges every row by its own text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
-from . import textkit as tk
+from . import storage, textkit as tk
 
 #: Words of a window.
 WINDOW = 10
 #: Words of benchmark items that are sent to the executors at a time.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 
 
 def _hashes(column: pa.Array) -> tuple[tk.Words, np.ndarray]:
@@ -73,7 +82,7 @@ def _rarity(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
 
 class Index:
-    """Windows of a block of items under their rarest word."""
+    """Windows of a block of items under their rarest word: a few arrays of fixed-size rows."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], rarity: dict[int, int], window: int):
         self.ids = sorted({i for i, _ in items})
@@ -118,7 +127,7 @@ class Index:
         return first, found
 
 
-def _blocks(items: list[tuple[str, np.ndarray]], limit: int):
+def _blocks(items: Iterator[tuple[str, np.ndarray]], limit: int) -> Iterator[list[tuple[str, np.ndarray]]]:
     block, n = [], 0
     for item in items:
         if block and n + len(item[1]) > limit:
@@ -130,37 +139,74 @@ def _blocks(items: list[tuple[str, np.ndarray]], limit: int):
         yield block
 
 
+def indexes(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Broadcast]:
+    """The index of one block of items after the other, by the rarity of words in docs."""
+    table = storage.store(_item_words(items.where("item_id is not null")), "items")
+    rows = ((r["item_id"], np.array(r["words"], np.int64).view(np.uint64)) for r in table.toLocalIterator())
+    for block in _blocks(rows, block_words):
+        vocabulary = np.unique(np.concatenate([w for _, w in block]))
+        yield docs.sparkSession.sparkContext.broadcast(Index(block, _rarity(docs, vocabulary), window))
+
+
+def _found(index: Index, words: tk.Words, h: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
+    """Which words an index covers, and the ids of the items whose windows stand in each row."""
+    first, found = index.find(words, h)
+    hit = np.zeros(len(h) + 1, np.int64)
+    np.add.at(hit, first, 1)
+    np.add.at(hit, first + index.size[found], -1)
+    owned: dict[int, set[str]] = {}
+    row = np.searchsorted(words.bounds, first, "right") - 1
+    for r, w in zip(row.tolist(), found.tolist(), strict=True):
+        owned.setdefault(r, set()).update(index.ids[x] for x in index.owners[index.owner_at[w] : index.owner_at[w + 1]])
+    return np.cumsum(hit[:-1]) > 0, owned
+
+
+_HITS = "doc_id long, n_words long, n_hit long, item_ids array<string>, hit_words array<long>"
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted array), hit_words (array of word places that are hit).
 
-    One row per input row, in input partitions. The item table is the stated query set; it
-    is read to the driver in blocks of ``block_words`` words and each block meets all rows.
+    One row per input row, in input partitions.
     """
-    rows = [(r["item_id"], np.array(r["words"], np.int64).view(np.uint64)) for r in _item_words(items.where("item_id is not null")).toLocalIterator()]
-    vocabulary = np.unique(np.concatenate([w for _, w in rows])) if rows else np.empty(0, np.uint64)
-    rarity = _rarity(docs, vocabulary) if len(vocabulary) else {}
-    indexes = [Index(b, rarity, window) for b in _blocks(rows, block_words)]
-
-    def f(batch):
-        words, h = _hashes(batch.column(1))
-        hit = np.zeros(len(h) + 1, np.int64)
-        owned: dict[int, set[str]] = {}
-        for index in indexes:
-            first, found = index.find(words, h)
-            np.add.at(hit, first, 1)
-            np.add.at(hit, first + index.size[found], -1)
-            row = np.searchsorted(words.bounds, first, "right") - 1
-            for r, w in zip(row.tolist(), found.tolist(), strict=True):
-                owned.setdefault(r, set()).update(index.ids[x] for x in index.owners[index.owner_at[w] : index.owner_at[w + 1]])
-        covered = np.cumsum(hit[:-1]) > 0
-        n_hit = tk.per_row(covered, words.bounds)
-        spots = np.flatnonzero(covered)
-        spots -= np.repeat(words.bounds[:-1], n_hit)
-        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_hit)]).astype(np.int32)), pa.array(spots.astype(np.int64)))
-        ids = pa.array([sorted(owned.get(r, ())) for r in range(batch.num_rows)], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.counts.astype(np.int64)), pa.array(n_hit), ids, places], ["doc_id", "n_words", "n_hit", "item_ids", "hit_words"])
-
-    return tk.map_texts(docs, "doc_id long, n_words long, n_hit long, item_ids array<string>, hit_words array<long>", f, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def met(sent: Broadcast | None, every: bool) -> DataFrame:
+        def f(batch):
+            words, h = _hashes(batch.column(1))
+            covered, owned = _found(sent.value, words, h) if sent else (np.zeros(len(h), bool), {})
+            n_hit = tk.per_row(covered, words.bounds)
+            keep = np.arange(batch.num_rows) if every else np.flatnonzero(n_hit)
+            spots = np.flatnonzero(covered)
+            spots -= np.repeat(words.bounds[:-1], n_hit)
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_hit[keep])]).astype(np.int32)), pa.array(spots.astype(np.int64)))
+            ids = pa.array([sorted(owned.get(r, ())) for r in keep.tolist()], pa.list_(pa.string()))
+            own = [batch.column(0).take(pa.array(keep)), pa.array(words.counts[keep].astype(np.int64)), pa.array(n_hit[keep]), ids, places]
+            yield pa.RecordBatch.from_arrays([*own, batch.column(1).take(pa.array(keep))][: 5 + (not every)], ["doc_id", "n_words", "n_hit", "item_ids", "hit_words", "text"][: 5 + (not every)])
+
+        found = tk.map_texts(texts, _HITS + (", text string" if not every else ""), f, ["doc_id", "text"])
+        # rows are told apart by id and text: rows with the same of both have the same hits
+        return found if every else found.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32(F.col("text").cast("binary")).alias("h2"), "n_words", "item_ids", "hit_words")
+
+    sent = indexes(texts, items, window, block_words)
+    first, second = next(sent, None), next(sent, None)
+    if second is None:
+        return met(first, True)
+    parts = []
+    for block in chain((first, second), sent):
+        parts.append(storage.store(met(block, False), "hits"))
+        block.destroy()
+    merged = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "h1", "h2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_words")))).alias("hit_words"))
+    merged = merged.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("item_ids").alias("_items"), F.col("hit_words").alias("_words"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    counted = texts.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32(F.col("text").cast("binary")).alias("h2"), _word_count().alias("n_words"))
+    out = counted.join(merged, same, "left").withColumns({"item_ids": F.coalesce("_items", F.array().cast("array<string>")), "hit_words": F.coalesce("_words", F.array().cast("array<long>"))})
+    return out.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), "item_ids", "hit_words")
+
+
+def _word_count() -> Column:
+    """How many words a text has, on the JVM side."""
+    return F.coalesce(F.size(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)), F.lit(0)).cast("long")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -168,10 +214,25 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
-    bad = hits(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_hit"), "left_anti")
+def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows in whose text no benchmark window occurs, with all their columns."""
+    at = docs.columns.index("text")
+    texts = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).select(F.col(f"c{at}").cast("string").alias("text"))
+    sent = indexes(texts, items, window, block_words)
+    out, last = docs, next(sent, None)
+    for block in sent:
+        out = storage.store(_clean(out, last), "clean")
+        last.destroy()
+        last = block
+    return out if last is None else _clean(out, last)
+
+
+def _clean(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    def verdict(column):
+        words, h = _hashes(column)
+        return tk.per_row(_found(sent.value, words, h)[0], words.bounds) == 0
+
+    return tk.keep_rows(docs, "text", verdict)
 
 
 def plain(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, int, str, bool]:

@@ -15,8 +15,9 @@ the document, from 0 to 1.
 
 Null or empty texts and texts without a letter give ``und`` with score 0 and no spans.
 Words without letters take the label of their neighbours. Rows with a null language are
-not learned from; if nothing can be learned every text is ``und``. Repeated rows are
-predicted alike; extra columns are ignored.
+not learned from; if nothing can be learned every text is ``und``. Rows with a null id are not
+held out. Repeated rows are predicted alike; extra columns, whatever they are called, are
+ignored, and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
 
-#: Hash buckets of character n-grams.
-BUCKETS = 1 << 16
+#: Hash buckets of character n-grams, and the most cells of the (buckets, languages) table that is sent to all tasks: beyond 256 languages buckets are fewer.
+BUCKETS, CELLS = 1 << 16, 1 << 24
 #: Labelled documents learned from, at most about so many (chosen by a hash of the text).
 FIT_ROWS = 40_000
 #: Cost of a switch between neighbouring words, in nats.
@@ -63,19 +64,25 @@ def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lead, code
 
 
+class Texts:
+    """Lower-cased bytes and the words of a slice: a letter is an ASCII letter or any byte beyond ASCII; digits, marks and white space part words."""
+
+    def __init__(self, column: pa.Array):
+        raw, self.offsets = tk.strings(column)
+        self.data = tk.LOWER[raw]
+        self.words = tk.Words(self.data, self.offsets, LETTER_BYTES)
+
+
 class Features:
-    """Words of a slice, the n-gram buckets of every word, and each word's script and letters."""
-
-    def __init__(self, column: pa.Array, buckets: int):
-        raw, offsets = tk.strings(column)
-        self.data, self.offsets = tk.LOWER[raw], offsets
-        # A letter is an ASCII letter or any byte beyond ASCII; digits, marks and white space part words.
-        self.words = tk.Words(self.data, offsets, LETTER_BYTES)
-        w = self.words
+    """The n-gram buckets of chosen words (all, if none are chosen), and each word's script and letters."""
+
+    def __init__(self, texts: Texts, buckets: int, chosen: np.ndarray | None = None):
+        self.data, w = texts.data, texts.words
+        starts, ends = (w.starts, w.ends) if chosen is None else (w.starts[chosen], w.ends[chosen])
         lead, code = _code_points(self.data)
         script = _SCRIPT[np.searchsorted(_STARTS, code, "right") - 1]
-        at = np.searchsorted(lead, w.starts), np.searchsorted(lead, w.ends)
-        n = len(w.starts)
+        at = np.searchsorted(lead, starts), np.searchsorted(lead, ends)
+        n = len(starts)
         known = np.concatenate([[0], np.cumsum(script >= 0)])
         self.letters = known[at[1]] - known[at[0]]
         # the script of a word is that of its first letter
@@ -85,12 +92,12 @@ class Features:
         has = self.letters > 0
         self.script[has] = script[spots[first[has]]]
         # n-grams: every run of 1 to 4 bytes of the word with its edges; byte runs cross code points, which costs nothing
-        size = w.ends - w.starts + 2
+        size = ends - starts + 2
         self.begin = np.concatenate([[0], np.cumsum(size)])
         flat = np.full(int(self.begin[-1]), 0x20, np.uint8)
         inner = np.ones(len(flat), bool)
         inner[self.begin[:-1]] = inner[self.begin[1:] - 1] = False
-        flat[inner] = self.data[_spans(w.starts, w.ends)]
+        flat[inner] = self.data[_spans(starts, ends)]
         self.grams: list[np.ndarray] = []
         x = flat.astype(np.uint32)
         last = np.repeat(self.begin[1:], size)
@@ -135,8 +142,11 @@ class Model:
 
 def fit(docs: DataFrame, buckets: int = BUCKETS, rows: int = FIT_ROWS, smoothing: float = SMOOTHING, switch: float = SWITCH) -> Model:
     """Learn from text and non-null lang of docs, at most about ``rows`` of them, chosen by a hash of the text."""
+    sizes = docs.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    while buckets > 256 and buckets * sizes[0] > CELLS:
+        buckets //= 2
     good = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = rows / max(1, docs.where("lang is not null").count())
+    share = rows / max(1, sizes[1])
     if share < 1:
         good = good.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
@@ -146,13 +156,14 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, rows: int = FIT_ROWS, smoothing
         for batch in batches:
             for a, b in tk.slices(tk.strings(batch.column(1))[1], 1 << 19):
                 lang = batch.column(0).slice(a, b - a).to_pylist()
-                f = Features(batch.column(1).slice(a, b - a), buckets)
+                texts = Texts(batch.column(1).slice(a, b - a))
+                f = Features(texts, buckets)
                 for x in dict.fromkeys(lang):
                     if x not in names:
                         names.append(x)
                         grams = np.vstack([grams, np.zeros((1, buckets + 1))])
                         scripts = np.vstack([scripts, np.zeros((1, len(_NAMES)))])
-                which = np.array([names.index(x) for x in lang])[f.words.rows()]
+                which = np.array([names.index(x) for x in lang])[texts.words.rows()]
                 letters = which[f.script >= 0], f.script[f.script >= 0]
                 np.add.at(scripts, letters, f.letters[f.script >= 0])
                 each = np.repeat(which, np.diff(f.begin))
@@ -184,14 +195,14 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, rows: int = FIT_ROWS, smoothing
 def _viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
     """Best label of every word; scores (words, languages) with the rows of a document together."""
     n, k = scores.shape
-    label = np.zeros(n, np.int8)
+    label = np.zeros(n, np.int32)
     begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
     order = np.argsort(-counts, kind="stable")
     counts, begin = counts[order], begin[order]
     longest = int(counts[0]) if len(counts) else 0
     active = np.searchsorted(-counts, -np.arange(longest), "left")  # documents with more than t words
     back = np.zeros((n, k), bool)  # whether a label came by a switch
-    source = np.zeros(n, np.int8)
+    source = np.zeros(n, np.int32)
     best = scores[begin[: active[0]]] if longest else np.zeros((0, k))
     final = np.zeros((len(counts), k), scores.dtype)
     if longest:
@@ -219,74 +230,94 @@ def _viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarra
     return label
 
 
-def _label(column: pa.Array, model: Model) -> tuple[Features, np.ndarray, np.ndarray]:
-    f = Features(column, len(model.weights) - 1)
-    scores = f.sums(model.weights)
-    allowed = np.where((f.script >= 0)[:, None], model.written[np.maximum(f.script, 0)], True)
+def _distinct(words: tk.Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of every distinct word, and the distinct word of every word."""
+    _, first, back = np.unique(tk.Bytes(data).span(words.starts, words.ends), return_index=True, return_inverse=True)
+    return first, back
+
+
+def _label(column: pa.Array, model: Model) -> tuple[Texts, np.ndarray, np.ndarray]:
+    f = Texts(column)
+    # a distinct word is scored once
+    first, back = _distinct(f.words, f.data)
+    g = Features(f, len(model.weights) - 1, first)
+    scores = g.sums(model.weights)
+    allowed = np.where((g.script >= 0)[:, None], model.written[np.maximum(g.script, 0)], True)
     allowed |= ~allowed.any(1, keepdims=True)  # a script that no language is written in narrows nothing
     scores[~allowed] = scores[~allowed] - np.float32(1e3)
-    scores[f.letters == 0] = 0
+    scores[g.letters == 0] = 0
+    f.letters = g.letters[back]
+    scores = scores[back]
     return f, scores, _viterbi(scores.astype(np.float64), f.words.counts, model.switch)
 
 
+def _letterless(column: pa.Array) -> np.ndarray:
+    """Rows without a letter; one without ASCII letters may hold marks only, which no script range tells from letters."""
+    data, offsets = tk.strings(column)
+    und = tk.per_row(LETTER_BYTES[data] & (data < 0x80), offsets) == 0
+    for r in np.flatnonzero(und).tolist():
+        und[r] = not any(c.isalpha() for c in column[r].as_py() or "")
+    return und
+
+
+def labels(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The language, score and spans of every text."""
+    names, k, n = model.languages, len(model.languages), len(column)
+    if not k:
+        kind = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
+        return np.full(n, "und", object), np.zeros(n), pa.array([[]] * n, kind)
+    f, scores, label = _label(column, model)
+    rows = f.words.rows()
+    letters = np.bincount(rows * k + label, f.letters, n * k).reshape(n, k)
+    total = letters.sum(1)
+    best = letters.argmax(1)
+    # mean posterior of the winner over the words it labels, scaled by its share of letters
+    own = label == best[rows]
+    s = scores - scores.max(1, keepdims=True)
+    p = 1 / np.exp(s - s[np.arange(len(s)), label][:, None]).clip(max=1e30).sum(1)
+    mean = np.bincount(rows, p * own * f.letters, n) / np.maximum(1, np.bincount(rows, own * f.letters, n))
+    score = np.clip(mean * letters[np.arange(n), best] / np.maximum(1, total), 0, 1)
+    und = _letterless(column)
+    best, score = np.where(total == 0, 0, best), np.where(und, 0.0, np.where(total == 0, 1 / k, score))
+    pred = np.array(names, object)[best]
+    pred[und] = "und"
+    new = np.ones(len(label), bool)
+    new[1:] = (label[1:] != label[:-1]) | (rows[1:] != rows[:-1])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(label)))
+    cuts = np.searchsorted(rows[head], np.arange(n + 1))
+    spans = pa.StructArray.from_arrays([pa.array(head - f.words.bounds[rows[head]]), pa.array(size), pa.array(np.array(names, object)[label[head]], pa.string())], ["first_word", "words", "lang"])
+    return pred, score, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, spans array<struct<first_word, words, lang>>: one row per input row, without a shuffle."""
-    names, k = model.languages, len(model.languages)
     schema = "doc_id long, lang_pred string, score double, spans array<struct<first_word: long, words: long, lang: string>>"
-    kind = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
 
     def run(batch):
-        n = batch.num_rows
-        if not k:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["und"] * n), pa.array([0.0] * n), pa.array([[]] * n, kind)], ["doc_id", "lang_pred", "score", "spans"])
-            return
-        f, scores, label = _label(batch.column(1), model)
-        rows = f.words.rows()
-        letters = np.bincount(rows * k + label, f.letters, n * k).reshape(n, k)
-        total = letters.sum(1)
-        best = letters.argmax(1)
-        # mean posterior of the winner over the words it labels, scaled by its share of letters
-        own = label == best[rows]
-        s = scores - scores.max(1, keepdims=True)
-        p = 1 / np.exp(s - s[np.arange(len(s)), label][:, None]).clip(max=1e30).sum(1)
-        mean = np.bincount(rows, p * own * f.letters, n) / np.maximum(1, np.bincount(rows, own * f.letters, n))
-        score = np.clip(mean * letters[np.arange(n), best] / np.maximum(1, total), 0, 1)
-        # a row without ASCII letters may hold marks only, which no script range tells from letters
-        plain = tk.per_row(LETTER_BYTES[f.data] & (f.data < 0x80), f.offsets)
-        und = np.zeros(n, bool)
-        for r in np.flatnonzero(plain == 0).tolist():
-            und[r] = not any(c.isalpha() for c in batch.column(1)[r].as_py() or "")
-        best, score = np.where(total == 0, 0, best), np.where(und, 0.0, np.where(total == 0, 1 / k, score))
-        pred = np.array(names, object)[best]
-        pred[und] = "und"
-        new = np.ones(len(label), bool)
-        new[1:] = (label[1:] != label[:-1]) | (rows[1:] != rows[:-1])
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(label)))
-        cuts = np.searchsorted(rows[head], np.arange(n + 1))
-        spans = pa.StructArray.from_arrays([pa.array(head - f.words.bounds[rows[head]]), pa.array(size), pa.array(np.array(names, object)[label[head]], pa.string())], ["first_word", "words", "lang"])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans)], ["doc_id", "lang_pred", "score", "spans"])
+        pred, score, spans = labels(batch.column(1), model)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), spans], ["doc_id", "lang_pred", "score", "spans"])
 
     return tk.map_texts(docs, schema, run, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")])
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Whether a document is kept from learning: crc32 of its id as text is divisible by 5."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from learning: crc32 of its id as text is divisible by 5. A null id is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def identify(docs: DataFrame, **fitting) -> DataFrame:
     """Learn from the rows that are not held out and predict every row: doc_id, held_out, lang_pred, score, n_spans, mixed."""
-    model = fit(docs.where(~held_out()), **fitting)
-    out = predict(docs, model)
+    rows = docs.select("doc_id", "text", "lang")
+    out = predict(rows, fit(rows.where(~held_out()), **fitting))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), (F.size(F.array_distinct("spans.lang")) > 1).alias("mixed"))
 
 
 def keep_identified(docs: DataFrame, **fitting) -> DataFrame:
-    """Documents with an identified language, with all their columns; ``und`` goes.
+    """Rows with an identified language, with all their columns; ``und`` goes. Every row is judged by its own text."""
+    model = fit(docs.select("doc_id", "text", "lang").where(~held_out()), **fitting)
+
+    def verdict(column):
+        return np.array([x != "und" for x in labels(column, model)[0]], bool)
 
-    The language is decided on the rows at hand. A row whose id is null is decided by its own text too.
-    """
-    model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))), **fitting)
-    keyed = predict(docs, model).where("lang_pred = 'und'").select(F.col("doc_id").alias("_und")).distinct()
-    return docs.join(keyed, F.col("doc_id").cast("long") == F.col("_und"), "left_anti")
+    return tk.keep_rows(docs, "text", verdict)
