@@ -8,23 +8,23 @@ be that large, for the next. Within a band, sets with Jaccard similarity of at l
 threshold differ in at most k features. The feature domain is parted into n1 parts and
 each of those into n2; by pigeonhole one part has at most k2 of the differences, so some
 n2 - k2 of its sub-parts agree. Every subset of n2 - k2 sub-parts of every part is a
-signature: similar sets share at least one, whatever the data. Where a subset is a single
-sub-part there are more sub-parts than the k + 1 that are needed, and a set signs only those
-with at least t features, for the largest t that leaves k + 1: of two similar sets, the one
-with the larger t has one among them that agrees, and the other signs that too.
+signature: similar sets share at least one, whatever the data.
 
 Candidates. Representatives are dealt by signature and stream through their buckets in
-order; equal buckets are kept once. Each bucket first checks its members against its least
-one. What that connects needs no further check; a bucket whose other members still lie in
-different components is checked exhaustively, in blocks of bounded size, each block pair a
-row group of its own. No pair list of a bucket is ever made, and none is left unchecked.
+order; equal buckets are kept once. A signature that stands ``HOT_IN_SLICE`` times in a slice
+is hot: its members are dealt over ``LANES`` lanes and a mark tells the other tasks' members.
+Each bucket (each lane of a hot one) first checks its members against its least one, and the
+least ones of lanes against the least of all. What that connects needs no further check; a
+bucket whose other members still lie in different components is checked exhaustively, in
+blocks of bounded size, each block pair a row group of its own. No pair list of a bucket is
+ever made, and none is left unchecked. Joins on keys that may be hot are salted.
 
 Links are verified on the sets. Components are those of the verified links.
 
 Texts without words (and null texts) have the empty set and link with nothing; texts with
 fewer words than an n-gram are a set of one. Rows with a null id keep their own row with a
-null component. Repeated rows fall into the class of their set; extra columns are ignored;
-an empty table gives an empty table.
+null component. Repeated rows fall into the class of their set; extra columns, whatever they
+are called, are ignored, and kept by ``keep_one``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,19 +36,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import components, storage, textkit as tk
+from . import components, skew, storage, textkit as tk
 
 WORDS, PERCENT = 3, 90
 #: Ratio of the largest to the least size of a band.
 BAND = 1.5
-#: Parts beyond the k + 1 that the pigeonhole needs, so that light parts need no signature.
-SPARE = 1.25
+#: Sub-parts of a part and how many of them may differ, for sets that may differ in more than two features.
+SUBPARTS, SPARED = 3, 1
 #: Least bits of a parity sketch; larger sets have the power of two that is at least twice their size.
 SKETCH = 512
 #: Members of a block of a bucket that is checked exhaustively.
-BLOCK = 256
+BLOCK = 1024
 #: Candidate ids that are broadcast to the documents; beyond that they are joined by a shuffle.
-MOST_SENT = 1_000_000
+MOST_SENT = 500_000
+#: Places of a signature in a slice that make it hot, the lanes of a hot one, and the most members of a bucket that a task holds at a time.
+HOT_IN_SLICE, LANES, MOST_HELD = 16, 256, 200_000
+#: Buckets whose repetition a task notices by itself.
+REMEMBERED = 100_000
 _BAND, _SUBSET = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -63,13 +67,11 @@ def bands(largest: int, band: float = BAND) -> list[tuple[int, int]]:
 
 
 def scheme(high: int, percent: int) -> tuple[int, int, int, int]:
-    """n1, n2, k2 and k of a band whose largest size is ``high``."""
+    """n1, n2, k2 and k of a band whose largest size is ``high``: n1 parts have at most k2 differences each unless they have over k in all."""
     k = 2 * high * (100 - percent) // (100 + percent)
     if k <= 2:
         return 1, k + 2 if k else 1, k, k
-    if k < 8:
-        return -(-(k + 1) // 2), 3, 1, k
-    return -(-int(SPARE * (k + 1)) // 2), 2, 1, k
+    return -(-(k + 1) // (SPARED + 1)), SUBPARTS, SPARED, k
 
 
 def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,21 +121,13 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, percent: int, band: float
                 sums = np.zeros(len(rows) * n1 * n2, np.uint64)
                 np.add.at(sums, spot, mixed[pick])
                 sums = sums.reshape(len(rows), n1, n2)
-                held = np.bincount(spot, minlength=sums.size).reshape(len(rows), n1, n2)
-                if n2 - k2 == 1 and n2 > 1:
-                    heaviest = -np.partition(-held.reshape(len(rows), -1), k, axis=1)[:, k]  # k + 1 parts hold as many
-                else:
-                    heaviest = np.zeros(len(rows), np.int64)
                 for number, subset in enumerate(combinations(range(n2), n2 - k2)):
                     s = np.full((len(rows), n1), np.uint64(int(b) + 1)) * _BAND
-                    weight = np.zeros((len(rows), n1), np.int64)
                     for j in subset:
                         s = tk.mix(s + sums[:, :, j] + np.uint64(j + 1) * _SUBSET)
-                        weight += held[:, :, j]
                     s = tk.mix(s + (np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(number)) * _SUBSET)
-                    of, at = np.nonzero(weight >= heaviest[:, None])
-                    found_rows.append(rows[of])
-                    found.append(s[of, at])
+                    found_rows.append(np.repeat(rows, n1))
+                    found.append(s.ravel())
     if not found:
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
     rows, out = np.concatenate(found_rows), np.concatenate(found)
@@ -164,65 +158,101 @@ def measure(docs: DataFrame, words: int) -> DataFrame:
     return tk.map_texts(_texts(docs), "doc_id long, n long, s1 long, s2 long", f, ["doc_id", "text"])
 
 
-def sign(docs: DataFrame, copies: DataFrame, words: int, percent: int) -> DataFrame:
-    """sig, doc: the signatures of all rows but copies (_doc), whose sets others stand for."""
-    if copies.count() <= MOST_SENT:
-        copies = F.broadcast(copies)
+def sign(docs: DataFrame, copies: DataFrame, words: int, percent: int, hot: int = HOT_IN_SLICE) -> DataFrame:
+    """sig, part, doc: the signatures of all rows but copies (_doc), whose sets others stand for.
+
+    part // 2 is the lane of a hot signature's member, or 0; an even part is a mark, not a member.
+    """
+    copies = F.broadcast(copies) if copies.count() <= MOST_SENT else copies
     rows = _texts(docs).where("doc_id is not null").join(copies, F.col("doc_id") == F.col("_doc"), "left_anti")
 
     def f(batch):
         grams, bounds = shingles(batch.column(1), words)
         found, cuts = signatures(grams, bounds, percent)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(cuts)))], ["sig", "doc"])
+        doc = np.repeat(batch.column(0).to_numpy(), np.diff(cuts))
+        names, back, count = np.unique(found, return_inverse=True, return_counts=True)
+        part = np.ones(len(found), np.int32)
+        busy = count[back] >= hot
+        part[busy] = 2 * (1 + (tk.mix(doc[busy].view(np.uint64)) % np.uint64(LANES)).astype(np.int32)) + 1
+        marks = names[count >= hot]
+        sig, part, doc = np.concatenate([found, marks]), np.concatenate([part, np.zeros(len(marks), np.int32)]), np.concatenate([doc, np.zeros(len(marks), np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(part), pa.array(doc)], ["sig", "part", "doc"])
 
-    return tk.map_texts(rows, "sig long, doc long", f, ["doc_id", "text"])
+    return tk.map_texts(rows, "sig long, part int, doc long", f, ["doc_id", "text"])
 
 
-def _buckets(signed: DataFrame) -> DataFrame:
-    """bucket, doc, center, of every signature shared by several representatives; equal buckets once."""
+def _buckets(signed: DataFrame, most: int = MOST_HELD) -> DataFrame:
+    """bucket, doc, center, hot, of every signature shared by several representatives; equal buckets once.
+
+    A hot bucket is named by its signature and has a center in each lane; others are named by their members.
+    """
 
     def f(batches):
-        kept_sig, kept_doc = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * 3
         seen: set[int] = set()
+        stream: tuple[int, int, int] | None = None  # signature, lane and center of a bucket beyond MOST_HELD, in work
 
-        def out(sig, doc):
+        def made(name, doc, center, hot):
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(doc), pa.array(center), pa.array(hot)], ["bucket", "doc", "center", "hot"])
+
+        def out(sig, part, doc):
             """The buckets of complete runs."""
             once = np.ones(len(sig), bool)
-            once[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-            sig, doc = sig[once], doc[once]
-            head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            once[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
+            sig, part, doc = sig[once], part[once], doc[once]
+            lane = part >> 1
+            head = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (lane[1:] != lane[:-1])]))
             size = np.diff(np.append(head, len(sig)))
-            many = size > 1
-            if not many.any():
-                return None
+            marked = part[head] % 2 == 0
+            hot = marked | (lane[head] > 0)
+            member = part % 2 == 1
+            first = np.minimum(head + marked, len(sig) - 1)
             with np.errstate(over="ignore"):
-                name = np.add.reduceat(tk.mix(doc.view(np.uint64)), head).view(np.int64)
-            fresh = many.copy()
-            for k in np.flatnonzero(many).tolist():
+                sums = np.add.reduceat(np.where(member, tk.mix(doc.view(np.uint64)), np.uint64(0)), head)
+            name = np.where(hot, tk.mix(sig[head].view(np.uint64)), sums).view(np.int64)
+            many = hot | (size > 1)
+            for k in np.flatnonzero(many & ~hot).tolist():
                 key = int(name[k])
                 if key in seen:
-                    fresh[k] = False
-                elif len(seen) < 1_000_000:
+                    many[k] = False
+                elif len(seen) < REMEMBERED:
                     seen.add(key)
-            row = np.repeat(fresh, size)
+            row = np.repeat(many, size) & member
             if not row.any():
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[row]), pa.array(doc[row]), pa.array(np.repeat(doc[head], size)[row])], ["bucket", "doc", "center"])
+            return made(np.repeat(name, size)[row], doc[row], np.repeat(doc[first], size)[row], np.repeat(hot, size)[row])
 
         for batch in batches:
-            sig = np.concatenate([kept_sig, batch.column(0).to_numpy()])
-            doc = np.concatenate([kept_doc, batch.column(1).to_numpy()])
+            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            sig, part, doc = held
             if not len(sig):
                 continue
-            last = int(np.searchsorted(sig, sig[-1], "left"))
-            kept_sig, kept_doc = sig[last:], doc[last:]
-            if last and (rows := out(sig[:last], doc[:last])) is not None:
+            same = (sig == sig[-1]) & (part >> 1 == part[-1] >> 1)
+            cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+            if stream is not None:
+                n = int(np.argmin((sig == stream[0]) & (part >> 1 == stream[1]))) if cut or (sig[-1], part[-1] >> 1) != stream[:2] else len(sig)
+                if n:
+                    yield made(np.full(n, tk.mix(np.uint64(stream[0] & (1 << 64) - 1)).view(np.int64)), doc[:n], np.full(n, stream[2]), np.ones(n, bool))
+                if n == len(sig):
+                    held = [x[:0] for x in held]
+                    continue
+                stream, cut = None, cut - n
+                sig, part, doc = held = [x[n:] for x in held]
+            if cut > 0 and (rows := out(sig[:cut], part[:cut], doc[:cut])) is not None:
                 yield rows
-        if len(kept_sig) and (rows := out(kept_sig, kept_doc)) is not None:
+            sig, part, doc = held = [x[max(0, cut) :] for x in held]
+            if len(sig) > most:
+                k = int(np.argmax(part % 2 == 1))  # marks come first
+                if part[k] % 2:
+                    stream = int(sig[0]), int(part[0] >> 1), int(doc[k])
+                    n = len(sig) - k
+                    yield made(np.full(n, tk.mix(np.uint64(stream[0] & (1 << 64) - 1)).view(np.int64)), doc[k:], np.full(n, stream[2]), np.ones(n, bool))
+                    held = [x[:0] for x in held]
+        if len(held[0]) and (rows := out(*held)) is not None:
             yield rows
 
-    dealt = signed.repartition("sig").sortWithinPartitions("sig", "doc")
-    return dealt.mapInArrow(f, "bucket long, doc long, center long").distinct()
+    dealt = signed.repartition(F.col("sig"), F.shiftright("part", 1)).sortWithinPartitions("sig", "part", "doc")
+    return dealt.mapInArrow(f, "bucket long, doc long, center long, hot boolean").distinct()
 
 
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -288,7 +318,7 @@ def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 keep = pa.array(near(apart, na, nb, percent))
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+    both = skew.join(pairs, one, {"a": "_a"}).join(two, F.col("b") == F.col("_b"))
     return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(f, "a long, b long")
 
 
@@ -296,7 +326,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     left = sets.select(F.col("doc").alias("_a"), F.col("grams").alias("_ga"))
     right = sets.select(F.col("doc").alias("_b"), F.col("grams").alias("_gb"))
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    both = skew.join(pairs, left, {"a": "_a"}).join(right, F.col("b") == F.col("_b"))
     shared = F.size(F.array_intersect("_ga", "_gb"))
     return both.where(shared * 100 >= (F.size("_ga") + F.size("_gb") - shared) * percent).select("a", "b").distinct()
 
@@ -323,8 +353,8 @@ def matches(first: list[np.ndarray], second: list[np.ndarray], percent: int) ->
 
 def _exhausted(docs: DataFrame, open_: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
     """All links across components within the open buckets (bucket, doc, comp), block by block."""
-    sizes = open_.groupBy(F.col("bucket").alias("_k")).agg(F.count("*").alias("m"))
-    rows = open_.join(sizes, F.col("bucket") == F.col("_k")).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
+    sizes = open_.groupBy(F.col("bucket").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    rows = skew.join(open_, sizes, {"bucket": "k"}, "left").withColumn("nb", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
     # a row goes to the block pairs (i, j), i <= j, of which its block is one
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
     dealt = rows.withColumn("p", F.explode(pairs)).select("bucket", "p.i", "p.j", "mine", "doc", "comp")
@@ -398,18 +428,36 @@ def _exhausted(docs: DataFrame, open_: DataFrame, sketches: DataFrame, words: in
     return ordered.mapInArrow(f, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: int = HOT_IN_SLICE, most: int = MOST_HELD) -> DataFrame:
     """doc_id, n_shingles, component_id, n_class (rows with an equal set): one row per input row."""
+    with storage.scratch() as keep:
+        signed, classes, found = _linked(_texts(docs), words, percent, hot, most)
+        label = found.where("node <> component").select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        # of classes only those with several rows or another component need to be joined back
+        told = classes.join(label, F.col("doc") == F.col("_node"), "left").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("_component", "doc").alias("_c"), F.col("size").alias("_size"))
+        out = skew.join(signed.where("doc_id is not null"), told, {"n": "_n", "s1": "_s1", "s2": "_s2"}, "left").unionByName(signed.where("doc_id is null"), allowMissingColumns=True)
+        result = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("n_class"))
+        stored = storage.store(result, "joined")
+        keep.append(stored)
+    return stored
+
+
+def _linked(docs: DataFrame, words: int, percent: int, hot: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows, the classes of equal sets, and the components of those that link (node, component)."""
     signed = storage.store(measure(docs, words), "measured")
     sets_of = signed.where("n > 0 and doc_id is not null")
     classes = storage.store(sets_of.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.count("*").alias("size")), "classes")
     several = classes.where("doc < last").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "doc")
-    copies = sets_of.join(several, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))).where("doc_id <> doc").select(F.col("doc_id").alias("_doc"))
+    copies = skew.join(sets_of, several, {"n": "_n", "s1": "_s1", "s2": "_s2"}).where("doc_id <> doc").select(F.col("doc_id").alias("_doc"))
     copies = storage.store(copies.distinct(), "copies")
-    buckets = storage.store(_buckets(sign(docs, copies, words, percent)), "buckets")
+    buckets = storage.store(_buckets(sign(docs, copies, words, percent, hot), most), "buckets")
     docs.sparkSession._jvm.System.gc()  # the cleaner drops the shuffle files of signatures
     sketches = storage.store(_sketches(docs, buckets.select("doc").distinct(), words), "sketches")
-    pairs = buckets.where("doc <> center").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = buckets.where("doc <> center").select(F.col("center").alias("a"), F.col("doc").alias("b"))
+    lanes = buckets.where("hot").select("bucket", "center").distinct()
+    least = lanes.groupBy(F.col("bucket").alias("_b")).agg(F.min("center").alias("a"))
+    between = lanes.join(least, F.col("bucket") == F.col("_b")).where("a < center").select("a", F.col("center").alias("b"))
+    pairs = storage.store(pairs.unionByName(between).distinct(), "proposed")
     pairs = storage.store(_close(pairs, sketches, percent), "pairs")
     sets = storage.store(_sets(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), words), "sets")
     links = storage.store(_verified(pairs, sets, percent), "verified")
@@ -417,18 +465,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     found = components.connected(links)
 
     # buckets whose members beside the center lie in several components
-    rest = buckets.where("doc <> center").join(found, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"))
+    rest = buckets.where("doc <> center or hot").join(found, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"))
     rest = storage.store(rest, "rest")
     several = rest.groupBy(F.col("bucket").alias("_b")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("_b")
-    open_ = rest.join(several, F.col("bucket") == F.col("_b"), "left_semi")
+    open_ = storage.store(skew.join(rest, several, {"bucket": "_b"}, "left_semi"), "open")
     more = storage.store(_exhausted(docs, open_, sketches, words, percent), "more")
     if more.limit(1).count():
         found = components.connected(links.unionByName(more))
-
-    label = found.where("node <> component").select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-    of_class = classes.join(label, F.col("doc") == F.col("_node"), "left").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("_component", "doc").alias("_c"), F.col("size").alias("_size"))
-    out = signed.select("doc_id", "n", "s1", "s2").join(of_class, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("n_class"))
+    return signed, classes, found
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -436,5 +480,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
     Rows with a null id stay; of repeated rows with the id that stays, all stay.
     """
-    gone = join(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    names = docs.columns
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    at = f"c{names.index('doc_id')}"
+    rows = numbered.select(F.col(at).alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"))
+    gone = join(rows, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return numbered.join(gone, F.col(at).cast("long") == F.col("gone"), "left_anti").toDF(*names)

@@ -14,8 +14,9 @@ the labels that are broadcast and the task that fits have a bound that does not
 the tables. Scoring reads texts once, without a shuffle.
 
 Null and empty texts are scored from the statistics of an empty text. Labels without a
-text, and null labels, are not learned from; with no labels every score is 0.5. Repeated
-rows are scored alike; extra columns are ignored.
+text, and null labels, are not learned from; with no labels every score is 0.5. A null id is
+not held out. Repeated rows are scored alike; extra columns, whatever they are called, are
+ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine | N
     share = rows / max(1, good.count())
     if share < 1:
         good = good.where(F.pmod(F.xxhash64(F.col("_id") + F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows_in = docs.join(F.broadcast(good), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_y", F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows_in = texts.join(F.broadcast(good), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
 
     def featurise(batch):
         at, ids, x = inputs(batch.column(2))

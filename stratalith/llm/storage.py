@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,20 +36,48 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_made: list[list[DataFrame]] = []
+
+
 def store(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later stages survive lost executors."""
+    """Write a table to the shared folder and read it back: later stages survive lost executors.
+
+    It is deleted with the session at the latest, and before by ``drop`` or ``scratch``.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    at, files = _place(out)
+    files.deleteOnExit(at)
+    if _made:
+        _made[-1].append(out)
     return out
 
 
+def _place(df: DataFrame):
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    return at, at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete stored tables that no later stage reads."""
     for df in frames:
-        path = df._stored_path
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        at, files = _place(df)
+        files.delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Delete the tables that are stored within, but for those that the caller puts into the list."""
+    keep: list[DataFrame] = []
+    _made.append([])
+    try:
+        yield keep
+    finally:
+        made = _made.pop()
+    if _made:
+        _made[-1].extend(keep)
+    kept = {df._stored_path for df in keep}
+    drop(*(df for df in made if df._stored_path not in kept))

@@ -428,9 +428,11 @@ def _collect_garbage(df: DataFrame) -> None:
 
 def _spans(docs: DataFrame, **how) -> DataFrame:
     """_doc, runs (sorted array of a << 31 | b): one row per text with something to remove."""
-    runs = repeated_runs(docs, **how)
-    packed = runs.select("doc", F.shiftleft(F.greatest("a", F.lit(0)).cast("long"), 31).bitwiseOR(F.col("b").cast("long")).alias("run"))
-    stored = storage.store(packed.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set("run")).alias("runs")), "runs")
+    with storage.scratch() as keep:
+        runs = repeated_runs(docs, **how)
+        packed = runs.select("doc", F.shiftleft(F.greatest("a", F.lit(0)).cast("long"), 31).bitwiseOR(F.col("b").cast("long")).alias("run"))
+        stored = storage.store(packed.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set("run")).alias("runs")), "runs")
+        keep.append(stored)
     _collect_garbage(docs)
     return stored
 

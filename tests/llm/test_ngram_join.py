@@ -4,7 +4,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from stratalith.llm import components, ngram_join as ng
+from stratalith.llm import components, ngram_join as ng, skew
 
 
 def sets_of(text, words):
@@ -33,9 +33,9 @@ def brute(rows, words, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def run(spark, rows, words, percent):
+def run(spark, rows, words, percent, **how):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n long, doc string").repartition(3)
-    out = ng.join(docs, words, percent).collect()
+    out = ng.join(docs, words, percent, **how).collect()
     assert len(out) == len(rows)
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out if r["doc_id"] is not None}
 
@@ -61,6 +61,32 @@ def test_components_equal_brute_force(spark, words, percent, edits):
     assert run(spark, rows, words, percent) == brute(rows, words, percent)
 
 
+@pytest.mark.parametrize("how", [{"hot": 2}, {"hot": 2, "most": 3}, {"most": 3}])
+def test_hot_signatures_lose_no_link(spark, monkeypatch, how):
+    monkeypatch.setattr(skew, "FEW_ROWS", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    rows = variants(random.Random(5), 12, 14, [4, 12, 30, 60, 120], 4)
+    rows += [(9000 + i, " ".join(f"v{k}" for k in range(40))) for i in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert run(spark, rows, 3, 90, **how) == brute(rows, 3, 90)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_salted_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FEW_ROWS", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(200)], "a long, b long")
+    other = spark.createDataFrame([(i, str(i)) for i in range(0, 200, 6)], "k long, x string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = rows.join(other, rows.a == other.k, how)
+        want = want if "left_" in how else want.drop("k")
+        got = skew.join(rows, other, {"a": "k"}, how)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 def test_hot_group_is_checked_exhaustively_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ng, "BLOCK", 8)
     rows = variants(random.Random(8), 1, 120, [90], 12)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stratalith.llm import decontaminate, html_extract, language_id, masked_lm, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, textkit
+from stratalith.llm import decontaminate, html_extract, language_id, masked_lm, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, textkit, warc
 from stratalith.llm.textstats import Stats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc long, word string"
@@ -383,3 +383,41 @@ def test_thue_morse_words_and_texts_are_told_apart(spark):
     got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.digest(decontaminate.hits(frame(spark, rows), bench)).collect()}
     assert got == {i: decontaminate.plain(t, items) for i, t in rows}
     assert [r["component_id"] for r in ngram_join.join(frame(spark, [(1, one), (2, two), (3, f"{one} x y"), (4, f"{two} x y")])).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+
+
+CLASHING = ["doc", "_doc", "runs", "_text", "_id", "_y", "_hit", "_gone", "gone", "_und", "c0", "c1", "h1", "_h1", "n", "s1", "_n", "_c", "bucket", "x", "key", "d2", "mu", "pkey", "host", "rows", "words", "length", "_rank", "node", "component", "score", "held_out"]
+
+
+def test_extra_columns_may_have_any_name(spark):
+    rng = random.Random(4)
+    rows = [(i, sentences(rng, EN if i % 2 else DE, 60)) for i in range(40)] + [(50, None), (None, "the of and"), (51, "12")]
+    items = spark.createDataFrame([(1, rows[3][1], *range(len(CLASHING)))], ["item_id", "text", *CLASHING])
+    docs = spark.createDataFrame([(i, t, "en" if i and i % 2 else "de", "s", len(t or ""), *range(len(CLASHING))) for i, t in rows], ["doc_id", "text", "lang", "source", "n_chars", *CLASHING])
+    labels = spark.createDataFrame([(i, i % 2, *range(len(CLASHING))) for i in range(40)], ["doc_id", "quality", *CLASHING])
+    for out in (quality_rules.judge(docs), suffix_dedup.report(docs), packing.pack(docs), language_id.identify(docs), decontaminate.hits(docs, items), ngram_join.join(docs), quality_fm.classify(docs, labels), masked_lm.pseudo_likelihood(docs)):
+        got = out.collect()
+        assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+        assert not {"held_out"} & set(out.columns) or all(r["held_out"] is not None for r in got)
+    for out, gone in ((suffix_dedup.remove(docs), set()), (language_id.keep_identified(docs), {50, 51}), (decontaminate.remove_contaminated(docs, items), {3}), (ngram_join.keep_one(docs), set())):
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        assert {r["doc_id"] for r in got} == {i for i, _ in rows} - gone
+        assert all(r[c] == k for r in got for k, c in enumerate(CLASHING))
+    pages = spark.createDataFrame([(i, "http://a.example/", f"<p>text {i}</p>", *range(len(CLASHING))) for i in range(6)], ["page_id", "url", "html", *CLASHING])
+    assert html_extract.extract(pages).count() == warc.archive(pages).count() == 6
+
+
+def test_filters_judge_rows_by_their_own_text(spark):
+    rows = [(1, "the of and thing"), (1, "12"), (None, "34"), (None, "with that over house")]
+    docs = frame(spark, rows, lambda i: "en")
+    assert sorted(r["text"] for r in language_id.keep_identified(docs).collect()) == ["the of and thing", "with that over house"]
+    bench = spark.createDataFrame([(1, "of and"), (2, "that over")], "item_id long, text string")
+    assert sorted(r["text"] for r in decontaminate.remove_contaminated(docs, bench, block_words=1).collect()) == ["12", "34"]
+
+
+def test_more_languages_than_a_byte_holds(spark):
+    names = [f"l{k:03}" for k in range(300)]
+    rows = [(k * 3 + j, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}q{w}x" for w in "abcdefgh")) for k in range(300) for j in range(3)]
+    docs = frame(spark, rows, lambda i: names[i // 3])
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    assert sum(out[i] == names[i // 3] for i, _ in rows) > 0.95 * len(rows)
