@@ -16,6 +16,10 @@ _DIGIT = tk.table(range(0x30, 0x3A))
 _OTHER = tk.table(b"!\"'()+,-./:;=?@[\\]^_`{}~")
 _ROW = np.uint64(0x9FB21C651E98DF25)
 
+#: Words and characters of prior that a profile's rates are smoothed by, so that short texts vary little more than long ones.
+PRIOR_WORDS, PRIOR_CHARS = 10, 50
+#: Statistics of a profile, in order. All vary among ordinary texts, so their scatter is an estimate and not a floor.
+PROFILE = ["words", "word_length", "word_spread", "marks", "upper", "distinct"]
 #: Transformed statistics, in the order of ``vectors``.
 NAMES = ["words", "word_length", "symbols", "upper", "dup_lines", "repeats", "marks", "digits"]
 
@@ -46,6 +50,7 @@ class Stats:
         rows = words.rows()
         inside = tk.WORD[data]
         self.n_words = words.counts.astype(np.int64)
+        self.data, self.rows = data, rows
         self.word_chars = tk.per_row(inside & ((data & 0xC0) != 0x80), offsets)
         self.n_symbols = tk.per_row(SYMBOLS[data], offsets)
         self.upper = tk.per_row(_UPPER[data], offsets)
@@ -81,3 +86,16 @@ class Stats:
             np.log1p(10 * self.n_dup_lines / np.maximum(1, self.n_lines)), np.log1p(10 * self.n_repeat_words / words),
             np.log1p(20 * self.marks / chars), np.log1p(20 * self.digits / chars),
         ], 1)
+
+    def profiles(self) -> np.ndarray:
+        """(rows, len(PROFILE)) transformed statistics, finite for every text."""
+        n, words = len(self.n_words), self.n_words + PRIOR_WORDS
+        lead = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        size = (lead[self.words.ends] - lead[self.words.starts]).astype(np.float64)
+        mean = (self.word_chars + 5.0 * PRIOR_WORDS) / words
+        spread = (np.bincount(self.rows, (size - mean[self.rows]) ** 2, n) + 9.0 * PRIOR_WORDS) / words
+        chars = self.word_chars + PRIOR_CHARS
+        first = np.unique(_by_row(self.hashes, self.rows), return_index=True)[1]
+        distinct = np.bincount(self.rows[first], minlength=n) + PRIOR_WORDS
+        rate = lambda k: np.log((k + 0.02 * PRIOR_CHARS) / chars)
+        return np.stack([np.log1p(self.n_words), np.log(mean), np.log(spread) / 2, rate(self.n_symbols + self.marks + self.digits), rate(self.upper), np.log(distinct / words)], 1)
