@@ -34,6 +34,8 @@ from . import textkit as tk
 BUCKETS, CELLS = 1 << 16, 1 << 24
 #: Labelled documents learned from, at most about so many (chosen by a hash of the text).
 FIT_ROWS = 40_000
+#: Words of a segment of a document that is labelled at a time, and the most languages for which that pays.
+SEGMENT, MOST_ENTRIES = 64, 12
 #: Cost of a switch between neighbouring words, in nats.
 SWITCH = 12.0
 #: Weight of unseen n-grams.
@@ -192,41 +194,79 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, rows: int = FIT_ROWS, smoothing
     return Model(languages, weights, seen, switch)
 
 
+def _walk(scores: np.ndarray, begin: np.ndarray, size: np.ndarray, best: np.ndarray, switch: float, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Advance from ``best`` (segments, ..., labels) over each segment's words; segments in decreasing size.
+
+    If kept, also whether each label of a word came by a switch, and from which label.
+    """
+    best = best.copy()
+    back = source = None
+    if keep:
+        back, source = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int32)
+    active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # segments with more than t words
+    for t, m in enumerate(active.tolist()):
+        at, v = begin[:m] + t, best[:m]
+        jump = v.max(-1, keepdims=True) - switch
+        if keep:
+            source[at], back[at] = v.argmax(-1), v < jump
+        np.maximum(v, jump, out=v)
+        v += scores[at] if v.ndim == 2 else scores[at][:, None, :]
+    return best, back, source
+
+
 def _viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
-    """Best label of every word; scores (words, languages) with the rows of a document together."""
+    """Best label of every word; scores (words, languages) with the rows of a document together.
+
+    Documents are cut into segments that all advance together: first from every label before
+    them (where languages are few enough for that), which gives the best score between any two
+    labels; then documents choose the labels at their segments' ends; then the words between.
+    """
     n, k = scores.shape
     label = np.zeros(n, np.int32)
-    begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    order = np.argsort(-counts, kind="stable")
-    counts, begin = counts[order], begin[order]
-    longest = int(counts[0]) if len(counts) else 0
-    active = np.searchsorted(-counts, -np.arange(longest), "left")  # documents with more than t words
-    back = np.zeros((n, k), bool)  # whether a label came by a switch
-    source = np.zeros(n, np.int32)
-    best = scores[begin[: active[0]]] if longest else np.zeros((0, k))
-    final = np.zeros((len(counts), k), scores.dtype)
-    if longest:
-        final[: len(best)] = best
-    for t in range(1, longest):
+    if not n:
+        return label
+    length = SEGMENT if k <= MOST_ENTRIES else int(counts.max())
+    per = -(-counts // length)
+    first = np.concatenate([[0], np.cumsum(per)])
+    within = np.arange(first[-1]) - np.repeat(first[:-1], per)
+    begin = np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), per) + within * length
+    size = np.minimum(length, np.repeat(counts, per) - within * length)
+    order = np.argsort(-size, kind="stable")
+    entry = np.full((len(size), k), -np.inf)
+    entry[within == 0] = 0
+    docs = np.flatnonzero(per)
+    docs = docs[np.argsort(-per[docs], kind="stable")]
+    most = int(per.max())
+    longer = np.searchsorted(-per[docs], -np.arange(most), "left")  # documents with more than q segments
+    if most > 1:
+        between = np.empty((len(size), k, k))
+        between[order] = _walk(scores, begin[order], size[order], np.broadcast_to(np.where(np.eye(k, dtype=bool), 0, -np.inf), (len(size), k, k)), switch, False)[0]
+        reach = np.empty((len(size), k))  # best scores before each segment
+        now = np.zeros((len(docs), k))
+        for q, m in enumerate(longer.tolist()):
+            at = first[docs[:m]] + q
+            reach[at] = now[:m]
+            v = (now[:m, :, None] + between[at]).max(1)  # a document begins with any label at no cost
+            now[:m] = v - v.max(1, keepdims=True)
+        out = now.argmax(1)
+        leave = np.empty(len(size), np.int64)
+        for q in range(most - 1, -1, -1):
+            m = int(longer[q])
+            at = first[docs[:m]] + q
+            leave[at] = out[:m]
+            if q:
+                before = (reach[at] + between[at, :, out[:m]]).argmax(1)
+                entry[at, before] = 0
+                out[:m] = before
+    ended, back, source = _walk(scores, begin[order], size[order], entry[order], switch, True)
+    state = ended.argmax(1) if most == 1 else leave[order]
+    active = np.searchsorted(-size[order], -np.arange(int(size.max())), "left")
+    for t in range(len(active) - 1, -1, -1):
         m = int(active[t])
-        v = final[:m]
-        at = begin[:m] + t
-        top = v.argmax(1)
-        jump = v[np.arange(m), top] - switch
-        came = v < jump[:, None]
-        source[at] = top
-        back[at] = came
-        np.maximum(v, jump[:, None], out=v)
-        v += scores[at]
-        final[:m] = v - v.max(1, keepdims=True)
-    if longest:
-        state = final.argmax(1)
-        for t in range(longest - 1, -1, -1):
-            m = int(active[t])
-            at = begin[:m] + t
-            s = state[:m]
-            label[at] = s
-            state[:m] = np.where(back[at, s], source[at], s)
+        at = begin[order[:m]] + t
+        s = state[:m]
+        label[at] = s
+        state[:m] = np.where(back[at, s], source[at], s)
     return label
 
 

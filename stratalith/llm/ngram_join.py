@@ -8,7 +8,12 @@ be that large, for the next. Within a band, sets with Jaccard similarity of at l
 threshold differ in at most k features. The feature domain is parted into n1 parts and
 each of those into n2; by pigeonhole one part has at most k2 of the differences, so some
 n2 - k2 of its sub-parts agree. Every subset of n2 - k2 sub-parts of every part is a
-signature: similar sets share at least one, whatever the data.
+signature: similar sets share at least one, whatever the data. n1, n2 and k2 are chosen by
+cost: few possible differences take all subsets of parts, more take pairs out of three
+sub-parts, and from eight on single sub-parts, as pairs would cost 1.4 times the signatures.
+Then there are more sub-parts than the k + 1 that are needed, and a set signs only those
+with at least t features, for the largest t that leaves k + 1: of two similar sets, the one
+with the larger t has one among them that agrees, and the other signs that too.
 
 Candidates. Representatives are dealt by signature and stream through their buckets in
 order; equal buckets are kept once. A signature that stands ``HOT_IN_SLICE`` times in a slice
@@ -41,8 +46,8 @@ from . import components, skew, storage, textkit as tk
 WORDS, PERCENT = 3, 90
 #: Ratio of the largest to the least size of a band.
 BAND = 1.5
-#: Sub-parts of a part and how many of them may differ, for sets that may differ in more than two features.
-SUBPARTS, SPARED = 3, 1
+#: Parts beyond the k + 1 that the pigeonhole needs, so that light parts need no signature.
+SPARE = 1.25
 #: Least bits of a parity sketch; larger sets have the power of two that is at least twice their size.
 SKETCH = 512
 #: Members of a block of a bucket that is checked exhaustively.
@@ -67,11 +72,13 @@ def bands(largest: int, band: float = BAND) -> list[tuple[int, int]]:
 
 
 def scheme(high: int, percent: int) -> tuple[int, int, int, int]:
-    """n1, n2, k2 and k of a band whose largest size is ``high``: n1 parts have at most k2 differences each unless they have over k in all."""
+    """n1, n2, k2 and k of a band whose largest size is ``high``."""
     k = 2 * high * (100 - percent) // (100 + percent)
     if k <= 2:
         return 1, k + 2 if k else 1, k, k
-    return -(-(k + 1) // (SPARED + 1)), SUBPARTS, SPARED, k
+    if k < 8:
+        return -(-(k + 1) // 2), 3, 1, k
+    return -(-int(SPARE * (k + 1)) // 2), 2, 1, k
 
 
 def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,13 +128,21 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, percent: int, band: float
                 sums = np.zeros(len(rows) * n1 * n2, np.uint64)
                 np.add.at(sums, spot, mixed[pick])
                 sums = sums.reshape(len(rows), n1, n2)
+                held = np.bincount(spot, minlength=sums.size).reshape(len(rows), n1, n2)
+                if n2 - k2 == 1 and n2 > 1:
+                    heaviest = -np.partition(-held.reshape(len(rows), -1), k, axis=1)[:, k]  # k + 1 parts hold as many
+                else:
+                    heaviest = np.zeros(len(rows), np.int64)
                 for number, subset in enumerate(combinations(range(n2), n2 - k2)):
                     s = np.full((len(rows), n1), np.uint64(int(b) + 1)) * _BAND
+                    weight = np.zeros((len(rows), n1), np.int64)
                     for j in subset:
                         s = tk.mix(s + sums[:, :, j] + np.uint64(j + 1) * _SUBSET)
+                        weight += held[:, :, j]
                     s = tk.mix(s + (np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(number)) * _SUBSET)
-                    found_rows.append(np.repeat(rows, n1))
-                    found.append(s.ravel())
+                    of, at = np.nonzero(weight >= heaviest[:, None])
+                    found_rows.append(rows[of])
+                    found.append(s[of, at])
     if not found:
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
     rows, out = np.concatenate(found_rows), np.concatenate(found)
@@ -170,11 +185,9 @@ def sign(docs: DataFrame, copies: DataFrame, words: int, percent: int, hot: int
         grams, bounds = shingles(batch.column(1), words)
         found, cuts = signatures(grams, bounds, percent)
         doc = np.repeat(batch.column(0).to_numpy(), np.diff(cuts))
-        names, back, count = np.unique(found, return_inverse=True, return_counts=True)
         part = np.ones(len(found), np.int32)
-        busy = count[back] >= hot
+        busy, marks = tk.repeated(found, hot)
         part[busy] = 2 * (1 + (tk.mix(doc[busy].view(np.uint64)) % np.uint64(LANES)).astype(np.int32)) + 1
-        marks = names[count >= hot]
         sig, part, doc = np.concatenate([found, marks]), np.concatenate([part, np.zeros(len(marks), np.int32)]), np.concatenate([doc, np.zeros(len(marks), np.int64)])
         yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(part), pa.array(doc)], ["sig", "part", "doc"])
 

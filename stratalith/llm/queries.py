@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..shipping import ship
-from . import decontaminate, html_extract, language_id, masked_lm, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, warc
+from . import decontaminate, html_extract, language_id, masked_lm, ngram_join, packing, quality_fm, quality_rules, storage, suffix_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
+    storage.prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -14,8 +14,21 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 _own: dict[str, str] = {}
 
+#: Bytes of a batch of rows that is handed to Python: two or three of these and one text are what a task holds beside its own state.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the workers and bound the batches that they are handed."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Base folder for intermediate tables; raises on a cluster that names none."""

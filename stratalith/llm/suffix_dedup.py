@@ -103,8 +103,7 @@ def find_anchors(docs: DataFrame, length: int, k: int, hot: int = HOT_IN_SLICE)
             context = tk.mix(spans.span(low, high) + (at - low).astype(np.uint64)).view(np.int64)
         doc, at, anchor = batch.column(0).to_numpy()[row], at - offsets[row], h.view(np.int64)
         part = np.zeros(len(at), np.int32)
-        names, back, count = np.unique(anchor, return_inverse=True, return_counts=True)
-        busy = np.flatnonzero(count[back] >= hot)
+        busy, marks = tk.repeated(h, hot)
         if len(busy):
             order = busy[np.lexsort((at[busy], doc[busy], context[busy], anchor[busy]))]
             new = np.ones(len(order), bool)
@@ -123,8 +122,7 @@ def find_anchors(docs: DataFrame, length: int, k: int, hot: int = HOT_IN_SLICE)
             with np.errstate(over="ignore"):  # copies are dealt evenly
                 gone = part < 0
                 anchor = np.where(gone, tk.mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64), anchor)
-            marks = names[count >= hot]
-            anchor, part, context = np.concatenate([anchor, marks]), np.concatenate([part, np.zeros(len(marks), np.int32)]), np.concatenate([context, np.full(len(marks), _MARK)])
+            anchor, part, context = np.concatenate([anchor, marks.view(np.int64)]), np.concatenate([part, np.zeros(len(marks), np.int32)]), np.concatenate([context, np.full(len(marks), _MARK)])
             doc, at = np.concatenate([doc, np.zeros(len(marks), np.int64)]), np.concatenate([at, np.full(len(marks), -1)])
         yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part), pa.array(context), pa.array(doc), pa.array(at.astype(np.int32))], ["anchor", "part", "context", "doc", "at"])
 

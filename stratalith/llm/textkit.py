@@ -60,6 +60,14 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def repeated(h: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the fingerprints that stand at least so many times in h, and those fingerprints."""
+    cell = (h >> np.uint64(46)).astype(np.int64)
+    likely = np.flatnonzero(np.bincount(cell, minlength=1 << 18)[cell] >= times)  # few are left to be sorted
+    names, back, count = np.unique(h[likely], return_inverse=True, return_counts=True)
+    return likely[count[back] >= times], names[count >= times]
+
+
 class Bytes:
     """Fingerprints of spans of a column of bytes."""
 
