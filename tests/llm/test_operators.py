@@ -5,11 +5,14 @@ import hashlib
 import math
 import random
 import re
+import resource
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stratalith.llm import decontaminate, html_extract, language_id, masked_lm, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, textkit, warc
 from stratalith.llm.textstats import Stats
@@ -55,16 +58,107 @@ def test_counts_equal_plain_ones():
     assert np.isfinite(s.vectors()).all()
 
 
+def test_base_counts_in_sql(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("ab \n\t#%") for _ in range(rng.randint(0, 300)))) for i in range(60)] + [(100, None), (101, ""), (102, "x " * 50)]
+    got = {r["doc_id"]: tuple(r)[1:7] for r in quality_rules.judge(frame(spark, rows)).collect()}
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = duck.sql(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d)),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        b AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+            FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id)
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words FROM b""").fetchall()
+    assert got == {r[0]: tuple(r[1:]) for r in want}
+
+
 def test_outliers_go_and_clean_texts_stay(spark):
     rng = random.Random(5)
-    clean = [(i, sentences(rng, [a + b for a in EN for b in EN], rng.randint(40, 200))) for i in range(300)]
-    junk = [(1000 + i, " ".join(w + "$$$&&&" for w in sentences(rng, [a + b for a in EN for b in EN], 80).upper().split())) for i in range(6)]
-    out = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, clean + junk + ODD)).collect()}
+    vocabulary = [a + b for a in EN for b in EN]
+    clean = [(i, " ".join(sentences(rng, vocabulary, rng.randint(4, 16)).capitalize() + rng.choice(".!?") for _ in range(rng.randint(5, 30)))) for i in range(300)]
+    junk = [(1000 + i, " ".join(w + "$$$&&&" for w in sentences(rng, vocabulary, 80).upper().split())) for i in range(6)]
+    small = [(2000 + i, clean[i][1]) for i in range(3)] + [(2010, junk[0][1])]
+    docs = frame(spark, clean + junk + ODD).unionByName(frame(spark, small).withColumn("source", F.lit("small")))
+    out = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     assert sum(out[i]["kept"] for i, _ in clean) >= 297
     assert not any(out[i]["kept"] for i, _ in junk)
+    assert [out[i]["kept"] for i, _ in small] == [True] * 3 + [False]  # few rows lean on the pooled estimate
     assert out[9001]["n_words"] == 0 and out[9001]["base_failed"] and not out[9001]["kept"]
-    assert len(out) == len(clean) + len(junk) + len(ODD)
+    assert len(out) == len(clean) + len(junk) + len(ODD) + len(small)
     assert quality_rules.judge(frame(spark, [])).count() == 0
+    assert quality_rules.judge(frame(spark, [(1, "few words"), (2, None)])).where("kept or distance is not null").count() == 0
+
+
+def vectors(spark, x, key="k"):
+    rows = [(i, key, "l", [float(v) for v in r], ((i * 2654435761) % (1 << 32)) / (1 << 32), False) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "doc_id long, key string, lkey string, x array<double>, u double, base_failed boolean").repartition(4)
+
+
+def plain_mcd(x, h, starts=80):
+    """The fast algorithm on one group, as published: random starts, concentration, least determinant, the median as consistency factor."""
+    rng, best = np.random.default_rng(1), None
+    for _ in range(starts):
+        rows = x[rng.choice(len(x), x.shape[1] + 1, replace=False)]
+        for _ in range(40):
+            mu, cov = rows.mean(0), np.cov(rows.T, bias=True) + 1e-9 * np.eye(x.shape[1])
+            near = np.argsort(quality_rules.squared(x, mu, np.linalg.inv(cov)), kind="stable")[:h]
+            if set(map(tuple, x[near])) == set(map(tuple, rows)):
+                break
+            rows = x[near]
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, mu, cov
+    _, mu, cov = best
+    d2 = quality_rules.squared(x, mu, np.linalg.inv(cov))
+    return mu, cov, np.median(d2) / quality_rules.quantile(0.5, x.shape[1])
+
+
+def correlated(rng, n, p):
+    a = rng.normal(size=(p, p))
+    clean = rng.normal(size=(n, p)) @ a
+    bad = rng.normal(size=(n // 6, p)) * 0.3 + 12 * a[0] * np.array([1, -1] * (p // 2))
+    return np.concatenate([clean, bad])
+
+
+def test_estimate_equals_a_plain_fast_mcd(spark):
+    x = correlated(np.random.default_rng(4), 4000, len(quality_rules.PROFILE))
+    found, groups = quality_rules.estimate(vectors(spark, x))
+    r = found.first()
+    mu, cov, scale = plain_mcd(x[:: len(x) // 1500], round(0.75 * len(x[:: len(x) // 1500])))
+    mu, cov, scale = plain_mcd(x, quality_rules._covered(len(x)), 12)
+    mine = quality_rules.squared(x, np.array(r["mu"]), np.linalg.inv(np.array(r["cov"]).reshape(cov.shape))) / r["scale"]
+    theirs = quality_rules.squared(x, mu, np.linalg.inv(cov)) / scale
+    cutoff = quality_rules.quantile(1e-6)
+    assert groups == 1 and ((mine > cutoff) == (theirs > cutoff)).mean() > 0.999
+    assert np.abs(np.log(mine / theirs)).mean() < 0.1
+    assert (mine[4000:] > cutoff).all() and (mine[:4000] <= cutoff).mean() > 0.999
+
+
+def test_covariances_decide(spark):
+    rng = np.random.default_rng(6)
+    p = len(quality_rules.PROFILE)
+    x = rng.normal(size=(600, p))
+    x[:, 1] = x[:, 0] + 0.05 * x[:, 1]
+    x[0, :2] = 1.5, -1.5  # ordinary in each statistic, but not together
+    r = quality_rules.estimate(vectors(spark, x))[0].first()
+    cov = np.array(r["cov"]).reshape(p, p)
+    whole, diagonal = (quality_rules.squared(x, np.array(r["mu"]), np.linalg.inv(c)) / r["scale"] for c in (cov, np.diag(np.diag(cov))))
+    cutoff = quality_rules.quantile(quality_rules.LEVEL)
+    assert whole[0] > cutoff > diagonal[0] and (whole[1:] <= cutoff).all()
+
+
+def test_quantiles_and_many_groups(spark, monkeypatch):
+    assert math.isclose(quality_rules.quantile(0.05, 2), 5.9915, rel_tol=1e-4) and math.isclose(quality_rules.quantile(0.5, 6), 5.3481, rel_tol=1e-4)
+    rng = random.Random(5)
+    rows = [(i, sentences(rng, [a + b for a in EN for b in EN], rng.randint(40, 200))) for i in range(120)]
+    docs = frame(spark, rows).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string")))
+    sent = {r["doc_id"]: r["distance"] for r in quality_rules.judge(docs).collect()}
+    monkeypatch.setattr(quality_rules, "MOST_SENT", 3)
+    salted = {r["doc_id"]: r["distance"] for r in quality_rules.judge(docs.repartition(7)).collect()}
+    assert sent.keys() == salted.keys() and all(math.isclose(sent[i], salted[i], rel_tol=1e-6) for i in sent)
 
 
 # 2 suffix dedup
@@ -270,6 +364,57 @@ def test_constant_text_under_a_neutral_class_goes(spark):
     assert got == {i: f"Story {i} told\n\nMore of {i}" for i in range(8)} | {100 + i: f"Cell {i}" for i in range(8)} | {200 + i: "Only copies" for i in range(8)}
 
 
+def generated_hosts(rng, n_hosts=20):
+    """Hosts without article elements: a layout of constant and changing parts, and what of it is main text."""
+    rows, want = [], {}
+    for h in range(n_hosts):
+        tags = [rng.choice(["div", "section", "td", "span"]) for _ in range(6)]
+        fixed = [sentences(rng, [a + b for a in EN for b in DE], rng.choice([1, 3, 9, 25])) for _ in range(5)]
+        names = [f"z{rng.randrange(10**6)}" for _ in range(4)]
+        for p in range(8):
+            paragraphs = [f"{sentences(rng, [a + b for a in EN for b in EN], rng.randint(8, 30))} {h} {p} {k}" for k in range(rng.randint(2, 5))]
+            label = f"Written {p} in {h}"
+            body = "".join(f"<p>{x}</p>" for x in paragraphs)
+            html = f"<html><body><div class={names[0]}><b>{fixed[0]}</b><i>{fixed[1]}</i></div><div class='{names[1]}'><h1>{label}</h1><div id={names[2]}>{fixed[2]}</div>{body}<div class={names[3]}><em>{fixed[3]}</em></div></div><div><{tags[0]}>{fixed[4]}</{tags[0]}></div></body></html>"
+            rows.append((h * 100 + p, f"https://h{h}.example/{p}", html))
+            want[h * 100 + p] = "\n\n".join([label, *paragraphs])
+    return rows, want
+
+
+def test_generated_hosts_without_articles(spark):
+    rows, want = generated_hosts(random.Random(9))
+    schema = "page_id long, url string, html string"
+    one, many = spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(rows, schema).repartition(16)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(one).collect()}
+    assert got == want
+    assert got == {r["page_id"]: r["text"] for r in html_extract.extract(many).collect()}
+    parser = html_extract.Parser()  # without templates the constant parts stay
+    assert all("\n\n".join(html_extract.blocks(parser, t, None, frozenset())) != want[i] for i, _, t in rows)
+
+
+def test_tokens_out_of_order_are_no_template(spark):
+    one, two = "<h2>North wind</h2>", "<h3>South sea</h3>"
+    rows = [(i, "http://o.example/", f"<html><body><div>{two + one if i % 2 else one + two}<p>Page number {i}</p><p>Told {i} so</p></div></body></html>") for i in range(8)]
+    steady = [(100 + i, "http://q.example/", f"<html><body><div>{one}{two}<p>Page number {i}</p><p>Told {i} so</p></div></body></html>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows + steady, "page_id long, url string, html string")).collect()}
+    assert all("South sea" in got[i] and "North wind" in got[i] and got[i].endswith(f"Page number {i}\n\nTold {i} so") for i in range(8))
+    assert [got[100 + i] for i in range(8)] == [f"Page number {i}\n\nTold {i} so" for i in range(8)]
+    assert html_extract.out_of_order({1: [1, 5], 2: [2, 6], 3: [3, 7]}, [1, 2, 3]) == []
+    assert html_extract.out_of_order({1: [1, 3], 2: [2, 6], 3: [4, 7]}, [1, 2, 3]) == [3]
+
+
+def test_quotes_depth_and_names(spark):
+    parser = html_extract.Parser()
+    text = lambda html: "\n\n".join(html_extract.blocks(parser, html, None, frozenset()))
+    assert text("<p title=it's>one</p><p title=\"a > b\">two</p><p title='x>three</p><p>four</p>") == "one\n\ntwo\n\nthree\n\nfour"
+    article = '<article><section id="related-work"><p>Related work</p></section><div class="search-algorithms">Search</div><div class="comment-list">said</div><div class="share buttons">share</div><div class="ad-banner">buy</div></article>'
+    assert text(article) == "Related work\n\nSearch"
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert text("<div>" * 20_000 + "deep" + "</i>" * 20_000) == "deep"
+    html_extract.occurrences(parser, "<b>" * 20_000 + "deep <p>x")
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+
+
 # 9 factorisation machine
 
 
@@ -301,9 +446,11 @@ def test_classifier_on_held_out_rows(spark):
 def test_scores_equal_a_plain_loop_and_order_matters(spark):
     rng = random.Random(12)
     pairs = [f"{a} {b}" for a, b in zip(EN, DE, strict=True)]
-    rows = [(i, " ".join(rng.choice(pairs) for _ in range(60))) for i in range(150)]
-    network, corpus = masked_lm.fit(frame(spark, rows), share=1.0, rounds=2)
-    out = {r["doc_id"]: r for r in masked_lm.score(frame(spark, rows[:5] + ODD), network, corpus).collect()}
+    rows = [(i, " ".join(rng.choice(pairs) for _ in range(60))) for i in range(300)]
+    encoded = masked_lm.encode(frame(spark, rows))
+    network, corpus = masked_lm.fit(encoded, masked=1.0)
+    score = lambda r: {x["doc_id"]: x for x in masked_lm.score(masked_lm.encode(frame(spark, r)), network, corpus).collect()}
+    out = score(rows[:5] + ODD)
     for i, text in rows[:2]:
         ids = masked_lm.tokens(pa.array([text]))[0].tolist()
         total = 0.0
@@ -311,44 +458,50 @@ def test_scores_equal_a_plain_loop_and_order_matters(spark):
             s = network.bias.astype(float).copy()
             for j, d in enumerate(masked_lm._OFFSETS):
                 s += network.embed[ids[k + d] if 0 <= k + d < len(ids) else masked_lm.VOCABULARY] * network.place[j]
-            z = np.tanh(s) @ network.out + network.prior
-            total += z[corpus.klass[x]] - np.log(np.exp(z).sum()) + corpus.within[x]
+            h = np.tanh(s)
+            z = h @ network.out + network.prior
+            total += z[corpus.klass[x]] - np.log(np.exp(z).sum())
+            if corpus.klass[x] >= masked_lm.OWN:
+                y = h @ network.inner[corpus.klass[x] - masked_lm.OWN] + network.tilt[corpus.klass[x] - masked_lm.OWN]
+                total += y[corpus.slot[x]] - np.log(np.exp(y).sum())
         assert math.isclose(out[i]["log_likelihood"], total, rel_tol=1e-3)
     assert out[9001]["n_tokens"] == 0 and out[9001]["log_likelihood"] == 0 and out[9001]["mean_log_likelihood"] is None
     shuffled = [(i, " ".join(rng.sample(t.split(), 120))) for i, t in rows[:30]]
-    mean = lambda r: np.mean([x["mean_log_likelihood"] for x in masked_lm.score(frame(spark, r), network, corpus).collect()])
+    mean = lambda r: np.mean([x["mean_log_likelihood"] for x in score(r).values()])
     assert mean(rows[:30]) > mean(shuffled) + 0.1
     assert masked_lm.pseudo_likelihood(frame(spark, [])).count() == 0
 
 
-def test_every_document_trains_the_registered_setting(spark):
-    words = [a + b for a in EN for b in DE]
-    rows = [(i, " ".join(words[7 * i : 7 * i + 7])) for i in range(20)]  # no word stands in two documents
-    network, corpus = masked_lm.fit(frame(spark, rows))
-    start = masked_lm.Network.start(np.bincount(corpus.klass, masked_lm.count(frame(spark, rows)) + 0.5, masked_lm.CLASSES))
-    for _, text in rows:
-        ids = masked_lm.tokens(pa.array([text]))[0]
-        assert (network.embed[ids] != start.embed[ids]).any(1).all()
-
-
-def test_context_tells_words_of_one_class_apart(spark):
+def test_training_does_not_depend_on_partitions_and_probabilities_sum_to_one(spark):
     rng = random.Random(3)
     left, right = [f"left{a}{b}" for a in EN for b in DE[:6]], [f"right{a}{b}" for a in EN for b in DE[:6]]
     rows = [(i, " ".join(f"{left[k]} {right[k]}" for k in (rng.randrange(72) for _ in range(60)))) for i in range(400)]
-    network, corpus = masked_lm.fit(frame(spark, rows))
+    docs = frame(spark, rows)
+    # three shards, whatever the partitions
+    fits = [masked_lm.fit(masked_lm.encode(d), masked=0.5, shard_tokens=15_000) for d in (docs.coalesce(1), docs.repartition(5))]
+    assert (fits[0][0].flat == fits[1][0].flat).all()
+    network, corpus = masked_lm.fit(masked_lm.encode(docs), masked=1.0, rounds=6)
     one = lambda w: int(masked_lm.tokens(pa.array([w]))[0][0])
     edge, gains = masked_lm.VOCABULARY, []
-    for k in range(72):
+    every = np.arange(masked_lm.VOCABULARY)
+    for k in range(0, 72, 5):  # context tells words of one class apart
         near = np.array([[edge, one(left[k]), edge, edge]], np.int32)
-        same = [x for x in map(one, right) if corpus.klass[x] == corpus.klass[one(right[k])] and x != one(right[k])]
-        h = network.hidden(near)
-        p = lambda x: float(network.log_within(h, np.array([x]), corpus)[0] - corpus.within[x])
-        gains += [p(one(right[k])) - p(x) for x in same]
-    assert len(gains) > 20 and np.mean(gains) > 0.5
-    for c in range(masked_lm.CLASSES):  # within a class the shares sum to one
-        ids = np.flatnonzero(corpus.klass == c)
-        if len(ids):
-            assert math.isclose(np.exp(network.log_within(np.repeat(h, len(ids), 0), ids, corpus)).sum(), 1, rel_tol=1e-4)
+        p = network.log_probability(np.repeat(near, len(every), 0), every, corpus)
+        assert math.isclose(np.exp(p).sum(), 1, rel_tol=1e-3)
+        same = [x for x in map(one, right) if x != one(right[k])]
+        gains += [p[one(right[k])] - p[x] for x in same]
+    assert np.mean(gains) > 0.5
+
+
+def test_every_document_is_masked(spark):
+    words = [a + b for a in EN for b in DE]
+    rows = [(i, " ".join(words[7 * i : 7 * i + 7] * 8)) for i in range(20)]  # no word stands in two documents
+    network, corpus = masked_lm.fit(masked_lm.encode(frame(spark, rows)))
+    for _, text in rows:
+        ids = masked_lm.tokens(pa.array([text]))[0]
+        assert network.embed[ids].any(1).all()
+    unknown = masked_lm.tokens(pa.array(["zzzz never seen"]))[0]
+    assert not network.embed[unknown].any()
 
 
 def test_fingerprints_are_of_the_bytes_alone():
