@@ -331,8 +331,8 @@ def score(encoded: DataFrame, network: Network, corpus: Corpus) -> DataFrame:
             for a, b, ids, bounds in _held(batch.column(1)):
                 each = np.empty(len(ids))
                 around = neighbours(ids, bounds)
-                for k in range(0, len(ids), HELD_TOKENS // 4):
-                    part = slice(k, k + HELD_TOKENS // 4)
+                for k in range(0, len(ids), HELD_TOKENS // 16):
+                    part = slice(k, k + HELD_TOKENS // 16)
                     each[part] = own.log_probability(around[part], ids[part], own_corpus)
                 sums = np.concatenate([[0.0], np.cumsum(each)])
                 n = np.diff(bounds)
