@@ -59,9 +59,30 @@ VIEWS: dict[str, str] = {
     "bench_runs": """SELECT CASE l_suppkey % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END AS dataset, CAST(l_linenumber AS BIGINT) AS zstd_level, CASE l_returnflag WHEN 'R' THEN 'tar_xz' ELSE 'tar_zstd' END AS tool,
         l_partkey * 13 % 9973 AS archive_size_bytes, l_orderkey % 887 AS pack_time_ms, l_suppkey % 71 AS extract_time_ms FROM {lineitem}""",
     "identity": """SELECT l_orderkey AS file_id, l_partkey AS block_id, CAST(l_linenumber AS BIGINT) - 1 AS block_index, CAST(l_orderkey % 5 + 2 AS BIGINT) AS total_blocks, l_suppkey AS path_id,
-        CAST(l_quantity AS BIGINT) AS logical_length, l_partkey * 4096 AS block_scan_offset FROM {lineitem} WHERE l_orderkey % 3 <> 0""",
+        CAST(l_quantity AS BIGINT) AS logical_length, l_partkey * 4096 AS block_scan_offset FROM {lineitem}""",
     "paths": "SELECT s_suppkey AS path_id, s_name AS path, s_nationkey AS dir_id, s_suppkey % 8 <> 0 AS digest_ok, s_suppkey % 2 AS generation FROM {supplier}",
     "directories": "SELECT n_nationkey AS dir_id, n_name AS dir_name, n_regionkey AS root_id FROM {nation}",
+    # identity records of the payload blocks of small archives (orders) with up to two files; some archives break a rule
+    "claims": """SELECT archive, file_id, block_index AS seq, block_index + CASE WHEN archive % 13 = 0 AND block_index > 0 THEN 1 ELSE 0 END AS block_index, total + CASE WHEN archive % 5 = 0 THEN 1 ELSE 0 END AS total_block_count,
+        size AS full_file_size, before AS logical_offset, len AS logical_length, CASE WHEN archive % 41 = 0 THEN 2 ELSE 1 END AS payload_codec, len AS payload_length, block_id,
+        CASE WHEN block_id % 2 = 0 THEN block_id * 4096 END AS block_scan_offset, CASE WHEN archive % 43 = 0 THEN 'a' || CAST(block_index AS STRING) ELSE 'a' || CAST(archive AS STRING) END AS archive_identity,
+        'p' || CAST(block_id AS STRING) AS payload_hash, 'h' || CAST(block_id AS STRING) AS raw_hash, CASE WHEN archive % 3 = 0 THEN file_id END AS path_id,
+        CASE WHEN archive % 3 = 1 THEN 'f' || CAST(file_id AS STRING) || '.txt' END AS name, CASE WHEN archive % 3 = 1 THEN 'own/f' || CAST(file_id AS STRING) || '.txt' END AS path,
+        CASE WHEN archive % 3 <> 1 THEN NULL WHEN archive % 7 = 0 THEN 'bad' ELSE md5('own/f' || CAST(file_id AS STRING) || '.txt') END AS path_digest
+        FROM (SELECT l_orderkey AS archive, CAST(l_linenumber % 2 AS BIGINT) AS file_id, l_partkey AS block_id, CAST(l_quantity AS BIGINT) AS len,
+            CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS BIGINT) AS block_index, COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber % 2) AS total,
+            CAST(SUM(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey, l_linenumber % 2) AS BIGINT) AS size,
+            COALESCE(CAST(SUM(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM {lineitem})""",
+    "verification": "SELECT p_partkey AS block_id, p_partkey % 11 <> 0 AS content_verified, CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size * 20 AS BIGINT) END AS verified_raw_len FROM {part}",
+    "scan_offsets": "SELECT p_partkey * 4096 AS scan_offset FROM {part} WHERE p_partkey % 11 <> 0 OR p_partkey % 33 = 0",
+    "checkpoint_paths": """SELECT o_orderkey AS archive, x.file_id, CAST(o_custkey AS BIGINT) AS seq, 'check/' || CAST(x.file_id AS STRING) AS path, CASE WHEN o_orderkey % 23 = 0 THEN 'bad' ELSE md5('check/' || CAST(x.file_id AS STRING)) END AS path_digest
+        FROM {orders} CROSS JOIN (SELECT CAST(0 AS BIGINT) AS file_id UNION ALL SELECT CAST(1 AS BIGINT)) x WHERE o_orderkey % 3 = 2""",
+    "dictionary_copies": """SELECT o_orderkey AS archive, x.copy, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS version, CASE WHEN x.copy = 2 AND o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS generation, 'a' || CAST(o_orderkey + CASE WHEN x.copy = 1 AND o_orderkey % 10 = 5 THEN 1 ELSE 0 END AS STRING) AS instance,
+        'a' || CAST(o_orderkey AS STRING) AS expected_instance, o_orderkey % 9 <> 0 OR x.copy = 2 AS body_ok FROM {orders} CROSS JOIN (SELECT 1 AS copy UNION ALL SELECT 2) x WHERE o_orderkey % 3 = 0""",
+    "dictionary_entries": """SELECT o_orderkey AS archive, x.copy, y.path_id, 'dict/' || CAST(y.path_id AS STRING) || CASE WHEN x.copy = 2 AND o_orderkey % 8 = 4 THEN 'x' ELSE '' END AS path,
+        md5('dict/' || CAST(y.path_id AS STRING) || CASE WHEN x.copy = 2 AND o_orderkey % 8 = 4 THEN 'x' ELSE '' END) || CASE WHEN o_orderkey % 21 = 0 AND y.path_id = 1 THEN '!' ELSE '' END AS path_digest
+        FROM {orders} CROSS JOIN (SELECT 1 AS copy UNION ALL SELECT 2) x CROSS JOIN (SELECT CAST(0 AS BIGINT) AS path_id UNION ALL SELECT CAST(1 AS BIGINT)) y WHERE o_orderkey % 3 = 0""",
+    "archives": "SELECT o_orderkey AS archive, o_orderkey % 5 = 0 AS index_valid FROM {orders}",
     "roots": "SELECT r_regionkey AS root_id, r_name AS root_name FROM {region}",
 }
 

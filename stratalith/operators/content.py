@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Magic prefixes (hex), in order: kind, extension, confidence.
+from . import ranges
+
+# Magic prefixes, in order: prefix, kind, extension, confidence.
 MAGIC = [
-    ("89504E470D0A1A0A", "png", "png", "high"), ("FFD8FF", "jpeg", "jpg", "high"), ("474946383761", "gif", "gif", "high"), ("474946383961", "gif", "gif", "high"),
-    ("255044462D", "pdf", "pdf", "high"), ("1F8B08", "gzip", "gz", "high"), ("425A68", "bzip2", "bz2", "high"), ("FD377A585A00", "xz", "xz", "high"),
-    ("377ABCAF271C", "7z", "7z", "high"), ("526172211A0700", "rar", "rar", "high"), ("526172211A070100", "rar", "rar", "high"), ("4D534346", "cab", "cab", "high"),
-    ("53514C69746520666F726D6174203300", "sqlite", "sqlite", "high"), ("7F454C46", "elf", "elf", "high"), ("0061736D", "wasm", "wasm", "high"), ("664C6143", "flac", "flac", "high"),
-    ("4F676753", "ogg", "ogg", "high"), ("424D", "bmp", "bmp", "high"), ("7B5C727466", "rtf", "rtf", "high"), ("252150532D", "postscript", "ps", "high"),
-    ("EDABEEDB", "rpm", "rpm", "high"), ("213C617263683E0A", "ar", "ar", "high"), ("514649FB", "qcow2", "qcow2", "high"), ("4B444D56", "vmdk", "vmdk", "medium"),
-    ("D0CF11E0A1B11AE1", "ole_cf", "ole", "medium"),
+    (b"\x89PNG\r\n\x1a\n", "png", "png", "high"), (b"\xff\xd8\xff", "jpeg", "jpg", "high"), (b"GIF87a", "gif", "gif", "high"), (b"GIF89a", "gif", "gif", "high"),
+    (b"%PDF-", "pdf", "pdf", "high"), (b"\x1f\x8b\x08", "gzip", "gz", "high"), (b"BZh", "bzip2", "bz2", "high"), (b"\xfd7zXZ\x00", "xz", "xz", "high"),
+    (b"7z\xbc\xaf'\x1c", "7z", "7z", "high"), (b"Rar!\x1a\x07\x00", "rar", "rar", "high"), (b"Rar!\x1a\x07\x01\x00", "rar", "rar", "high"), (b"MSCF", "cab", "cab", "high"),
+    (b"SQLite format 3\x00", "sqlite", "sqlite", "high"), (b"\x7fELF", "elf", "elf", "high"), (b"\x00asm", "wasm", "wasm", "high"), (b"fLaC", "flac", "flac", "high"),
+    (b"OggS", "ogg", "ogg", "high"), (b"BM", "bmp", "bmp", "high"), (b"{\\rtf", "rtf", "rtf", "high"), (b"%!PS-", "postscript", "ps", "high"),
+    (b"\xed\xab\xee\xdb", "rpm", "rpm", "high"), (b"!<arch>\n", "ar", "ar", "high"), (b"QFI\xfb", "qcow2", "qcow2", "high"), (b"KDMV", "vmdk", "vmdk", "medium"),
+    (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "ole_cf", "ole", "medium"),
 ]
 # Markers within a ZIP container, first match wins; the office kinds need two more.
 ZIP_MARKERS = [
@@ -22,16 +24,16 @@ ZIP_MARKERS = [
     ("epub", "application/epub+zip"), ("jar", "META-INF/MANIFEST.MF"), ("apk", "AndroidManifest.xml"),
 ]
 OFFICE = [("docx", "word/"), ("xlsx", "xl/"), ("pptx", "ppt/")]
-# Prefixes of structured formats (hex): kind, confidence.
+# Prefixes of structured formats: prefix, kind, confidence.
 PREFIXES = [
-    ("FFF1", "aac", "high"), ("FFF9", "aac", "high"), ("000001BA", "mpeg_ps", "medium"), ("000001B3", "mpeg_ps", "medium"), ("49492A00", "tiff", "high"), ("4D4D002A", "tiff", "high"),
-    ("494433", "mp3", "medium"), ("FEEDFACE", "mach_o", "high"), ("FEEDFACF", "mach_o", "high"), ("CEFAEDFE", "mach_o", "high"), ("CFFAEDFE", "mach_o", "high"), ("CAFEBABE", "mach_o", "high"), ("BEBAFECA", "mach_o", "high"),
+    (b"\xff\xf1", "aac", "high"), (b"\xff\xf9", "aac", "high"), (b"\x00\x00\x01\xba", "mpeg_ps", "medium"), (b"\x00\x00\x01\xb3", "mpeg_ps", "medium"), (b"II*\x00", "tiff", "high"), (b"MM\x00*", "tiff", "high"),
+    (b"ID3", "mp3", "medium"), (b"\xfe\xed\xfa\xce", "mach_o", "high"), (b"\xfe\xed\xfa\xcf", "mach_o", "high"), (b"\xce\xfa\xed\xfe", "mach_o", "high"), (b"\xcf\xfa\xed\xfe", "mach_o", "high"), (b"\xca\xfe\xba\xbe", "mach_o", "high"), (b"\xbe\xba\xfe\xca", "mach_o", "high"),
 ]
 CLASS_ORDER = ["structured_text_like", "text_like", "binary_like", "unknown_mixed"]
 
 
-def _starts(data: Column, hexed: str) -> Column:
-    return F.hex(F.substring(data, 1, len(hexed) // 2)) == hexed
+def _starts(data: Column, prefix: bytes) -> Column:
+    return F.substring(data, 1, len(prefix)) == F.lit(prefix)
 
 
 def _at(data: Column, offset: int, text: str) -> Column:
@@ -56,19 +58,19 @@ def classify(data: Column, html_first: bool = False) -> Column:
     rules += prefix(("aac", "mpeg_ps"))
     rules += [((F.octet_length(data) > 41000) & _at(data, 0x8001, "CD001"), is_("iso", "high")), ((F.octet_length(data) > 262) & _at(data, 257, "ustar"), is_("tar", "high"))]
     rules += prefix(("tiff",))
-    rules.append((_starts(data, "00000100") & (F.octet_length(data) >= 8) & (F.hex(F.substring(data, 5, 1)) != "00"), is_("ico", "high")))
+    rules.append((_starts(data, b"\x00\x00\x01\x00") & (F.octet_length(data) >= 8) & (F.hex(F.substring(data, 5, 1)) != "00"), is_("ico", "high")))
     rules += prefix(("mp3",))
-    rules.append((_starts(data, "FF") & (F.octet_length(data) >= 2) & (F.conv(F.hex(F.substring(data, 2, 1)), 16, 10).cast("int") >= 0xE0), is_("mp3", "medium")))
-    ebml = _starts(data, "1A45DFA3")
+    rules.append((_starts(data, b"\xff") & (F.octet_length(data) >= 2) & (F.conv(F.hex(F.substring(data, 2, 1)), 16, 10).cast("int") >= 0xE0), is_("mp3", "medium")))
+    ebml = _starts(data, b"\x1aE\xdf\xa3")
     rules += [(ebml & _holds(data, "webm"), is_("webm", "medium")), (ebml, is_("mkv", "medium"))]
     byte = lambda k: F.conv(F.hex(F.substring(data, 0x3D + k, 1)), 16, 10).cast("int") * (256**k)
     at = byte(0) + byte(1) + byte(2)
-    rules.append((_starts(data, "4D5A") & (F.octet_length(data) >= 0x40) & (F.hex(F.substring(data, at + 1, F.lit(4))) == "50450000"), is_("pe", "high")))
+    rules.append((_starts(data, b"MZ") & (F.octet_length(data) >= 0x40) & (F.substring(data, at + 1, F.lit(4)) == F.lit(b"PE\x00\x00")), is_("pe", "high")))
     rules += prefix(("mach_o",))
-    pk = _starts(data, "504B0304")
+    pk = _starts(data, b"PK\x03\x04")
     both = _holds(data, "[Content_Types].xml") & _holds(data, "_rels/.rels")
     rules += [(pk & both & _holds(data, m), is_(k, "high")) for k, m in OFFICE] + [(pk & _holds(data, m), is_(k, "high")) for k, m in ZIP_MARKERS] + [(pk, is_("zip", "medium"))]
-    rules += [(_starts(data, "213C617263683E0A") & _holds(data, "debian-bina"), is_("deb", "high")), (_holds(data, "MANIFEST-"), is_("leveldb", "medium"))]
+    rules += [(_starts(data, b"!<arch>\n") & _holds(data, "debian-bina"), is_("deb", "high")), (_holds(data, "MANIFEST-"), is_("leveldb", "medium"))]
     rules += [(_starts(data, h), is_(k, c)) for h, k, _, c in MAGIC]
     text = F.try_validate_utf8(data.cast("string"))
     trimmed = F.regexp_replace(text, r"^\s+", "")
@@ -111,12 +113,12 @@ def kind_rank(kind: Column) -> Column:
 
 
 def ordering(strategy: str) -> list[Column]:
-    """The sort key of an ordering strategy over path, kind, size and ext."""
+    """The ascending sort key of an ordering strategy over path, kind, size and ext."""
     rank, size, ext, path = kind_rank(F.col("kind")), F.col("size"), F.col("ext"), F.col("path")
     keys = {
         "lexical": [path],
         "size_ascending": [rank, size, ext, path],
-        "size_descending": [rank, size.desc(), ext, path],
+        "size_descending": [rank, -size, ext, path],
         "extension_grouped": [rank, ext, path],
         "kind_then_extension": [rank, ext, size, path],
     }
@@ -125,7 +127,7 @@ def ordering(strategy: str) -> list[Column]:
 
 def interleave(rows: DataFrame, bucket: str, *order: str) -> DataFrame:
     """Round-robin over buckets: the position within the bucket, then the bucket."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)))
+    return ranges.place(rows, [bucket], [F.col(c) for c in order], "turn")
 
 
 def sweep(runs: DataFrame, input_bytes: DataFrame) -> DataFrame:

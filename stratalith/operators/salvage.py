@@ -30,11 +30,6 @@ def factored_paths(paths: DataFrame, directories: DataFrame, roots: DataFrame) -
     return paths.join(directories, "dir_id").join(roots, "root_id").select("path_id", F.concat_ws("/", "root_name", "dir_name", "path").alias("full_path"))
 
 
-def dictionary_conflicts(paths: DataFrame) -> DataFrame:
-    """Directories whose entries come from several generations."""
-    return paths.groupBy("dir_id").agg(F.countDistinct("generation").alias("generations"), F.count("*").alias("entries")).withColumn("conflict", F.col("generations") > 1)
-
-
 def ordinal_check(rows: DataFrame, group: str, index: str, order: list[str]) -> DataFrame:
     """Per group: whether the sorted index is 0..n-1 (else a gap), and whether one stands twice."""
     w = Window.partitionBy(group).orderBy(index, *order)
@@ -98,12 +93,6 @@ def reject_shared_blocks(claims: DataFrame) -> DataFrame:
     return claims.join(shared, "block_id", "left_anti")
 
 
-def fatal_sources(plans: DataFrame, archive: str, violation: Column) -> DataFrame:
-    """Plans of archives without a single violation: one bad record rejects its whole source."""
-    bad = plans.where(violation).select(F.col(archive).alias("_a")).distinct()
-    return plans.join(bad, F.col(archive) == F.col("_a"), "left_anti")
-
-
 def checkpoints(rows: DataFrame, group: str, order: str) -> DataFrame:
     """Every second ordinal, with the first and last marked as anchors."""
     w = Window.partitionBy(group).orderBy(order)

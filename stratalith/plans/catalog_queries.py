@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..bindings import duck, frame
-from ..operators import catalog as op
+from ..operators import catalog as op, ranges
 from .registry import query
 
 
@@ -187,5 +187,6 @@ def f27(spark, d):
 @query("w6_running_ids", duck("SELECT file_id, CAST(SUM(CASE WHEN kind = 'regular' THEN 1 ELSE 0 END) OVER (PARTITION BY split_part(path, '/', 1) ORDER BY path, file_id) AS BIGINT) AS block_id, dense_rank() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY hardlink_key) AS link_id FROM files"))
 def w6(spark, d):
     """Running block ids and hard-link ids within each top directory."""
-    top = F.split("path", "/")[0]
-    return _files(spark, d).select("file_id", F.sum(F.when(F.col("kind") == "regular", 1).otherwise(0)).over(Window.partitionBy(top).orderBy("path", "file_id")).alias("block_id"), F.dense_rank().over(Window.partitionBy(top).orderBy(F.col("hardlink_key").asc_nulls_last())).cast("long").alias("link_id"))
+    rows = _files(spark, d).select("file_id", "path", "kind", "hardlink_key", F.split("path", "/")[0].alias("top"))
+    run = ranges.running(rows, ["top"], [F.col("path"), F.col("file_id")], F.when(F.col("kind") == "regular", 1).otherwise(0), "block_id")
+    return ranges.dense(run, ["top"], "hardlink_key", "link_id").select("file_id", "block_id", "link_id")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..bindings import duck, frame
-from ..operators import content as op
+from ..operators import content as op, ranges
 from .registry import query
 
 _XML = "(starts_with(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), '<?xml') OR (starts_with(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), '<') AND contains(t, '</')))"
@@ -72,7 +72,7 @@ for _s, _o in _ORDERS.items():
     @query(f"o9_{_s}", duck(f"SELECT id, ROW_NUMBER() OVER (PARTITION BY {_CLASS} ORDER BY {_o}, id) AS place FROM tree"))
     def _ordered(spark, d, s=_s):
         """Places under an ordering strategy within each content class."""
-        return _classes(spark, d).select("id", F.row_number().over(Window.partitionBy("class").orderBy(*op.ordering(s), "id")).cast("long").alias("place"))
+        return ranges.place(_classes(spark, d), ["class"], [*op.ordering(s), F.col("id")], "place").select("id", "place")
 
 
 @query("w7_interleaved_samples", duck("SELECT id, kind, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY path, id) AS turn FROM tree"))
@@ -82,7 +82,7 @@ def w7(spark, d):
 
 @query("o8_sample_cap", duck("SELECT id, kind FROM (SELECT id, kind, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY path, id) AS turn FROM tree) ORDER BY turn, kind, id LIMIT 30"))
 def o8(spark, d):
-    """A sampling operator: the first thirty in round-robin order."""
+    """A sampling operator: the first thirty in round-robin order, a top-k of them."""
     return op.interleave(frame(spark, d, "tree"), "kind", "path", "id").orderBy("turn", "kind", "id").limit(30).select("id", "kind")
 
 

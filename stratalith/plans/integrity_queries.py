@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..bindings import duck, frame
-from ..operators import integrity as op
+from ..operators import integrity as op, ranges
 from .registry import query
 
 
@@ -114,13 +114,11 @@ def h15(spark, d):
     return frame(spark, d, "files").select(op.file_node(F.col("path")).alias("file_node"), op.block_node(F.col("file_id")).alias("block_node"))
 
 
-@query("o1_paths_in_order", duck("SELECT path, ROW_NUMBER() OVER (ORDER BY path, file_id) AS place FROM files ORDER BY path LIMIT 100"))
+@query("o1_paths_in_order", duck("SELECT path, file_id, ROW_NUMBER() OVER (ORDER BY path, file_id) AS place FROM files"))
 def o1(spark, d):
-    """The first hundred paths in byte order with their places: a top-k, ranked after it is cut."""
-    from pyspark.sql import Window
-
-    top = frame(spark, d, "files").select("path", "file_id").orderBy("path", "file_id").limit(100)
-    return top.select("path", F.row_number().over(Window.orderBy("path", "file_id")).cast("long").alias("place"))
+    """All paths in byte order with their places."""
+    rows = frame(spark, d, "files").select("path", "file_id")
+    return ranges.place(rows, [], [F.col("path"), F.col("file_id")], "place").orderBy("path", "file_id")
 
 
 @query("o2_extent_order", duck("SELECT file_id, string_agg(block_id || ':' || CAST(logical_offset AS BIGINT) || ':' || len, ',' ORDER BY block_id, logical_offset, len) AS extents FROM extents GROUP BY file_id"))

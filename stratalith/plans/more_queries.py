@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..bindings import duck, frame
-from ..operators import catalog, lab, salvage
+from ..operators import catalog, lab, ranges, salvage
 from .registry import query
 
 # Expected dictionary copies and conflict by layout and damaged target.
@@ -72,12 +72,6 @@ def h1(spark, d):
     return parsed.select("r.file_id", "r.path", "r.size", F.explode("r.extents").alias("x")).select("file_id", "path", "size", "x.block_id", "x.len")
 
 
-@query("v10_checkpoint_planner", duck("SELECT x.file_id, COUNT(*) AS extents, CAST(SUM(x.len) AS BIGINT) AS covered FROM (SELECT file_id, len, ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY ordinal) AS rn, COUNT(*) OVER (PARTITION BY file_id) AS n FROM extents) x WHERE rn % 2 = 0 OR rn IN (1, n) GROUP BY x.file_id"))
-def v10(spark, d):
-    """What the checkpoint records alone would cover."""
-    return salvage.checkpoints(frame(spark, d, "extents"), "file_id", "ordinal").groupBy("file_id").agg(F.count("*").alias("extents"), F.sum("len").alias("covered"))
-
-
 @query("v14_pack_layout", duck("SELECT f.path, COALESCE(s.source, f.path) AS payload_of, f.hardlink_key IS NULL OR f.path = s.source AS emits_block FROM files f LEFT JOIN (SELECT hardlink_key, MIN(path) AS source FROM files WHERE hardlink_key IS NOT NULL GROUP BY hardlink_key) s ON f.hardlink_key = s.hardlink_key WHERE f.kind = 'regular'"))
 def v14(spark, d):
     """Regular files with the path whose payload they share; a hard link's payload is written once."""
@@ -88,9 +82,9 @@ def v14(spark, d):
 
 @query("v15_path_dictionary", duck("SELECT split_part(path, '/', 1) AS dir, CAST(dense_rank() OVER (ORDER BY split_part(path, '/', 1)) - 1 AS BIGINT) AS dir_id, COUNT(*) AS entries FROM files GROUP BY split_part(path, '/', 1)"))
 def v15(spark, d):
-    """Directories of a factored dictionary with dense ids; few rows are left when they are ranked."""
+    """Directories of a factored dictionary with dense ids in order."""
     dirs = frame(spark, d, "files").groupBy(F.split("path", "/")[0].alias("dir")).agg(F.count("*").alias("entries"))
-    return dirs.select("dir", (F.dense_rank().over(Window.orderBy("dir")) - 1).cast("long").alias("dir_id"), "entries")
+    return ranges.place(dirs, [], [F.col("dir")], "place").select("dir", (F.col("place") - 1).alias("dir_id"), "entries")
 
 
 @query("h12_listing_fallback", duck("SELECT kind, CASE WHEN kind IN ('regular', 'directory') THEN 'index' ELSE 'footer' END AS source, COUNT(*) AS n FROM files GROUP BY kind"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..bindings import duck, frame
-from ..operators import salvage as op
+from ..operators import ranges, salvage as op
 from .registry import query
 
 _CAND = "SELECT block_id * 4096 + CASE WHEN block_id % 5 = 0 THEN 7 ELSE 0 END AS scan_offset, NOT corrupt AS usable FROM blocks"
@@ -61,11 +61,6 @@ def j13(spark, d):
     return op.classify_extents(frame(spark, d, "extents"), frame(spark, d, "blocks"))
 
 
-@query("v6_salvage_plan", duck(f"SELECT status, COUNT(*) AS files, CAST(SUM(damaged) AS BIGINT) AS damaged FROM (SELECT damaged, CASE WHEN missing + damaged = 0 THEN 'salvageable' WHEN missing + damaged < n THEN 'partial' ELSE 'unsalvageable' END AS status FROM ({_STATUS})) GROUP BY status"))
-def v6(spark, d):
-    return j13(spark, d).groupBy("status").agg(F.count("*").alias("files"), F.sum("damaged").alias("damaged"))
-
-
 @query("u5_reason_sets", duck(f"SELECT file_id, CASE WHEN missing > 0 AND damaged > 0 THEN 'block_missing,block_damaged' WHEN missing > 0 THEN 'block_missing' WHEN damaged > 0 THEN 'block_damaged' ELSE '' END AS reasons FROM ({_STATUS})"))
 def u5(spark, d):
     return j13(spark, d).select("file_id", F.array_join(op.reasons({"block_missing": F.col("missing") > 0, "block_damaged": F.col("damaged") > 0}), ",").alias("reasons"))
@@ -121,8 +116,8 @@ _CLASSES = f"SELECT i.file_id, COUNT(DISTINCT i.block_id) FILTER (NOT b.corrupt)
 
 
 @query("f20_recovery_classes", duck(f"SELECT file_id, found, CASE WHEN found = expected AND found > 0 AND named THEN 'FULL_VERIFIED' WHEN found = expected AND found > 0 THEN 'FULL_ANONYMOUS' WHEN found > 0 AND ordered THEN 'PARTIAL_ORDERED' WHEN found > 0 THEN 'PARTIAL_UNORDERED' ELSE 'ORPHAN_BLOCKS' END AS class FROM ({_CLASSES})"))
-def v7(spark, d):
-    """Payload-identity planner: verified blocks of each file against the expected count, its name and its order."""
+def f20(spark, d):
+    """Verified blocks of each file against the expected count, its name and its order."""
     i = frame(spark, d, "identity")
     good = i.join(frame(spark, d, "blocks").select("block_id", "corrupt"), "block_id", "left").join(frame(spark, d, "paths").select("path_id", "digest_ok"), "path_id", "left")
     seen = good.groupBy("file_id").agg(F.countDistinct(F.when(~F.col("corrupt"), F.col("block_id"))).alias("found"), F.max("total_blocks").alias("expected"), F.coalesce(F.bool_or("digest_ok"), F.lit(False)).alias("named"))
@@ -130,28 +125,10 @@ def v7(spark, d):
     return seen.join(order, "file_id").select("file_id", "found", op.recovery_class(F.col("found"), F.col("expected"), F.col("named"), F.col("ordered")).alias("class"))
 
 
-@query("v8_file_identity_planner", duck(f"SELECT file_id, n FROM ({_ORD}) WHERE file_id % 2000 NOT IN (SELECT file_id % 2000 FROM ({_ORD}) WHERE n > 6 AND has_gap)"))
-def v8(spark, d):
-    """Sources are ids modulo 2000; an ordinal gap in a long file is fatal for its whole source."""
-    checked = op.ordinal_check(frame(spark, d, "identity"), "file_id", "block_index", ["block_id", "path_id"]).withColumn("archive", F.col("file_id") % 2000)
-    return op.fatal_sources(checked, "archive", (F.col("n") > 6) & F.col("has_gap")).select("file_id", "n")
-
-
-@query("v9_redundant_map_planner", duck(f"SELECT c.file_id, c.covered FROM ({_CONT}) c WHERE c.file_id % 5000 NOT IN (SELECT file_id % 5000 FROM ({_CONT}) WHERE NOT contiguous)"))
-def v9(spark, d):
-    checked = op.contiguity(frame(spark, d, "extents"), "file_id", ["ordinal"]).withColumn("archive", F.col("file_id") % 5000)
-    return op.fatal_sources(checked, "archive", ~F.col("contiguous")).select("file_id", "covered")
-
-
-@query("v11_unshared_claims", duck("SELECT file_id, block_id FROM identity WHERE path_id = block_index AND block_id NOT IN (SELECT block_id FROM identity WHERE path_id = block_index GROUP BY block_id HAVING COUNT(DISTINCT file_id) > 1)"))
+@query("v11_unshared_claims", duck("SELECT file_id, block_id FROM identity WHERE block_id NOT IN (SELECT block_id FROM identity GROUP BY block_id HAVING COUNT(DISTINCT file_id) > 1)"))
 def v11(spark, d):
-    """Claims of manifests, here those whose path id is the block's index."""
-    return op.reject_shared_blocks(frame(spark, d, "identity").where("path_id = block_index").select("file_id", "block_id"))
-
-
-@query("v12_dictionary_conflicts", duck("SELECT dir_id, COUNT(DISTINCT generation) AS generations, COUNT(*) AS entries, COUNT(DISTINCT generation) > 1 AS conflict FROM paths GROUP BY dir_id"))
-def v12(spark, d):
-    return op.dictionary_conflicts(frame(spark, d, "paths"))
+    """Claims of all files on blocks that no other file claims; in these tables most blocks are shared."""
+    return op.reject_shared_blocks(frame(spark, d, "identity").select("file_id", "block_id"))
 
 
 _SRC = "SELECT file_id % 97 AS archive, file_id, 0 AS priority FROM extents WHERE file_id % 97 < 30 UNION ALL SELECT file_id % 97, file_id, 1 FROM identity WHERE file_id % 97 < 60 UNION ALL SELECT file_id % 97, file_id, 2 FROM files"
@@ -209,6 +186,5 @@ def h33(spark, d):
 @query("h34_packed_blocks", duck("SELECT kind, file_id, CAST(SUM(size) OVER (PARTITION BY kind ORDER BY path, file_id) // 100000 AS BIGINT) AS block FROM files"))
 def h34(spark, d):
     """Files share blocks of a size: the running sum of sizes, floor-divided."""
-    from pyspark.sql import Window
-
-    return frame(spark, d, "files").select("kind", "file_id", F.floor(F.sum("size").over(Window.partitionBy("kind").orderBy("path", "file_id").rowsBetween(Window.unboundedPreceding, 0)) / 100000).cast("long").alias("block"))
+    run = ranges.running(frame(spark, d, "files").select("kind", "file_id", "path", "size"), ["kind"], [F.col("path"), F.col("file_id")], F.col("size"), "run")
+    return run.select("kind", "file_id", F.floor(F.col("run") / 100000).cast("long").alias("block"))
