@@ -1,38 +1,40 @@
 """WARC archives as chunked record tables.
 
-Writing. Every page is one record; payloads longer than ``CHUNK`` bytes are split into
-segments (the format's own continuation records), so no task holds more than a chunk of
-a payload as a record. A row of the chunk table is (record_id, chunk, total length, digest
-so far, bytes); its digest is the SHA-1 of the payload up to the end of that chunk, carried
-on from chunk to chunk. Rows are written as ``.warc`` files by Spark's text writer, one
-record a row with a blank line between records, into any folder Spark can write to. A
-payload that holds the version line is cut within it, so the line stands nowhere but at
-the beginning of records and archives can be split anywhere.
+Writing. Every page is one record. Its payload is cut on the JVM side into chunks of at most
+``CHUNK`` bytes, one row each, before any of it is handed on, so no batch, digest or record
+ever holds more than a chunk of a payload. The rows of a record stream through its task in
+order with one running SHA-1; a row of the chunk table is (record_id, chunk, total length,
+digest so far, bytes), and the digest of the last is the payload's. Longer payloads are
+segments (the format's own continuation records). Rows are written as ``.warc`` files by
+Spark's text writer, one record a row with a blank line between records, into any folder Spark
+can write to. A payload that holds the version line is cut within it, so the line stands
+nowhere but at the beginning of records and archives can be split anywhere.
 
 Reading. Files are split at the version line and the splits are parsed where they lie. Payloads of a single segment are digested in place. Segments of longer
 ones are dealt by record, ordered by chunk number, and digested as a stream: one running
 digest, one chunk in memory, each chunk checked against the digest it carries.
 
-Deduplication. Of records with equal payloads of at least ``LEAST_REVISIT`` bytes, that
-with the largest id is the response and the others are revisits that refer to it.
+Deduplication. The payloads' digests come from a first pass over the chunks, which keeps
+nothing else. Of records with equal payloads of at least ``LEAST_REVISIT`` bytes, that with the
+largest id is the response and the others are revisits that refer to it. Records are told apart
+by id and a hash of the payload.
 
 Null payloads are empty. Rows with a null id are not archived. A repeated id is archived
-and reported as often as it stands; copies of the largest id are responses. Extra columns
-are ignored; an empty table gives an empty archive.
+and reported as often as it stands; copies of the largest id are responses. Extra columns,
+whatever they are called, are ignored; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import storage
 
 #: Payload bytes of a segment.
-CHUNK = 1 << 20
+CHUNK = 1 << 14
 #: Least payload bytes of a revisit.
 LEAST_REVISIT = 1000
 #: The end of a record, and the version line that begins one and parts records when archives are split.
@@ -55,56 +57,74 @@ def cuts(payload: bytes | memoryview, chunk: int = CHUNK) -> list[int]:
     return out
 
 
-def dedupe(pages: DataFrame, key: str, payload: str) -> DataFrame:
-    """key, bytes, digest, record_type, refers_to of every row; only digests and ids are shuffled."""
-    bytes_ = F.coalesce(F.col(payload).cast("string").cast("binary"), F.lit(b""))
-    facts = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("page_id"), F.octet_length(bytes_).cast("long").alias("payload_bytes"), F.sha1(bytes_).alias("payload_digest"))
-    groups = facts.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy(F.col("payload_digest").alias("_d")).agg(F.max("page_id").alias("_top"), F.min("page_id").alias("_low"))
+def _rows(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
+    """page_id, url, mark (a hash of the payload that tells records of an id apart), total, body."""
+    body = F.coalesce(F.col(payload).cast("string").cast("binary"), F.lit(b""))
+    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("body"))
+    return rows.select("page_id", "url", F.lower(F.hex(F.xxhash64("body"))).alias("mark"), F.octet_length("body").cast("long").alias("total"), "body")
+
+
+def split(rows: DataFrame, chunk: int, *columns: str) -> DataFrame:
+    """Rows with ``at`` (from 0) and ``body`` cut to chunks, a record's chunks in order in one task; records without bytes have one empty chunk."""
+    last = F.greatest(F.ceil(F.col("total") / chunk).cast("int"), F.lit(1)) - 1
+    spots = rows.withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+    return spots.select(*columns, "total", "at", F.substring("body", F.col("at") * chunk + 1, F.lit(chunk)).alias("body"))
+
+
+def digests(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """page_id, mark, payload_bytes, payload_digest of every record, by a running digest over its chunks."""
+
+    def f(batches):
+        running = None
+        for batch in batches:
+            found = []
+            for page, mark, total, at, body in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if at == 0:
+                    running = hashlib.sha1()
+                value = body.as_buffer()
+                running.update(memoryview(value))
+                if (at + 1) * chunk >= total:
+                    found.append((page, mark, total, running.hexdigest()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], ["page_id", "mark", "payload_bytes", "payload_digest"])
+
+    return split(rows, chunk, "page_id", "mark").mapInArrow(f, "page_id long, mark string, payload_bytes long, payload_digest string")
+
+
+def dedupe(facts: DataFrame) -> DataFrame:
+    """page_id, mark, payload_digest, refers_to of the records that are revisits; only digests and ids are shuffled."""
+    groups = facts.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy(F.col("payload_digest").alias("_d")).agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_low"))
     # only payloads that stand under two ids are joined back
-    several = groups.where("_low < _top").select("_d", "_top")
-    joined = facts.join(several, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= LEAST_REVISIT), "left")
-    revisit = F.col("_top").isNotNull() & (F.col("page_id") < F.col("_top"))
-    return joined.select("page_id", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_top")).alias("refers_to"))
+    several = groups.where("_low < refers_to").select("_d", "refers_to")
+    joined = facts.where(F.col("payload_bytes") >= LEAST_REVISIT).join(several, F.col("payload_digest") == F.col("_d"))
+    return joined.where("page_id < refers_to").select("page_id", "mark", "payload_digest", "refers_to").distinct()
 
 
-def chunk_table(pages: DataFrame, revisits: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK) -> DataFrame:
-    """The rows of CHUNKS for every page; revisits (page_id, refers_to) carry no body."""
-    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").cast("binary").alias("body"))
-    again = revisits.select(F.col("page_id").alias("_r"), F.col("refers_to").alias("_to")).distinct()
-    rows = rows.join(again, F.col("page_id") == F.col("_r"), "left").select("page_id", "url", "_to", "body")
+def chunk_table(rows: DataFrame, revisits: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The rows of CHUNKS for every record; revisits carry no body."""
+    again = revisits.select(F.col("page_id").alias("_r"), F.col("mark").alias("_m"), "payload_digest", "refers_to")
+    told = rows.join(again, (F.col("page_id") == F.col("_r")) & (F.col("mark") == F.col("_m")), "left")
+    told = told.withColumns({"body": F.when(F.col("refers_to").isNull(), F.col("body")).otherwise(F.lit(b"")), "total": F.when(F.col("refers_to").isNull(), F.col("total")).otherwise(0)})
     names = [c.split()[0] for c in CHUNKS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def f(batches):
-        held: list[tuple] = []
-        size = 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-
+        digest, number = None, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                page, link, to = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                value = batch.column(3)[i].as_buffer()
-                body = memoryview(value) if value is not None else memoryview(b"")
-                whole = hashlib.sha1(body).hexdigest()
-                name, digest = f"{_URN}{page}:{whole}", hashlib.sha1()
-                if to is not None:
-                    spans, total = [(0, 0)], 0
-                else:
-                    bounds, total = cuts(body, chunk), len(body)
-                    spans = list(zip(bounds, bounds[1:], strict=False))
-                for number, (a, b) in enumerate(spans, 1):
+            held = []
+            for page, link, mark, known, to, total, at, value in zip(*(batch.column(i).to_pylist() for i in range(7)), batch.column(7), strict=True):
+                if at == 0:
+                    digest, number = hashlib.sha1(), 0
+                body = memoryview(value.as_buffer())
+                bounds = cuts(body, chunk)
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    number += 1
                     digest.update(body[a:b])
-                    held.append((name, page, number, total, digest.hexdigest() if to is None else whole, "response" if to is None else "revisit", None if to is None else f"{_URN}{to}:{whole}", link, bytes(body[a:b])))
-                    size += b - a + 200
-                    if size >= _OUT_BYTES:
-                        yield out()
-                        held, size = [], 0
-        if held:
-            yield out()
+                    held.append((f"{_URN}{page}:{mark}", page, number, total, digest.hexdigest() if to is None else known, "response" if to is None else "revisit", None if to is None else f"{_URN}{to}:{mark}", link, bytes(body[a:b])))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
-    return rows.mapInArrow(f, CHUNKS)
+    return split(told, chunk, "page_id", "url", "mark", "payload_digest", "refers_to").mapInArrow(f, CHUNKS)
 
 
 def _clean(c):
@@ -233,6 +253,7 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     """Write pages to archives under ``path`` (the shared folder if none is named) and report what is read back."""
     spark = pages.sparkSession
     path = path or storage.new_path(spark, "warc")
-    revisits = storage.store(dedupe(pages, key, payload).where("record_type = 'revisit'"), "revisits")
-    write(chunk_table(pages, revisits, key, url, payload, chunk), path)
+    rows = _rows(pages, key, url, payload)
+    revisits = storage.store(dedupe(storage.store(digests(rows, chunk), "digests")), "revisits")
+    write(chunk_table(rows, revisits, chunk), path)
     return report(records(read(spark, path)))
