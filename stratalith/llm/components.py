@@ -23,13 +23,13 @@ def connected(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         with storage.scratch() as keep:
             # large star: every larger neighbour of a node is tied to the least of its neighbourhood
-            both = storage.store(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+            both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-            large = skew.join(both.where("v > u"), least, {"u": "k"}).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = skew.join(both.where("v > u"), least, {"u": "k"}, total=before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
             large = storage.store(large, "links")
             # small star: every node and its smaller neighbours are tied to the least of them
             least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-            tied = skew.join(large, least, {"u": "k"})
+            tied = skew.join(large, least, {"u": "k"}, total=before[0])
             small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
             small = storage.store(small, "links")
             keep.append(small)

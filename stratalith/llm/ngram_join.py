@@ -53,7 +53,7 @@ SKETCH = 512
 #: Members of a block of a bucket that is checked exhaustively.
 BLOCK = 1024
 #: Candidate ids that are broadcast to the documents; beyond that they are joined by a shuffle.
-MOST_SENT = 500_000
+MOST_SENT = 200_000
 #: Places of a signature in a slice that make it hot, the lanes of a hot one, and the most members of a bucket that a task holds at a time.
 HOT_IN_SLICE, LANES, MOST_HELD = 16, 256, 200_000
 #: Buckets whose repetition a task notices by itself.
@@ -366,10 +366,18 @@ def matches(first: list[np.ndarray], second: list[np.ndarray], percent: int) ->
 
 def _exhausted(docs: DataFrame, open_: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
     """All links across components within the open buckets (bucket, doc, comp), block by block."""
-    sizes = open_.groupBy(F.col("bucket").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    rows = skew.join(open_, sizes, {"bucket": "k"}, "left").withColumn("nb", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
-    # a row goes to the block pairs (i, j), i <= j, of which its block is one
-    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
+    parts = open_.groupBy(F.col("bucket").alias("k"), "comp").agg(F.count("*").alias("m"))
+    # a bucket's largest component needs no check within
+    sizes = parts.groupBy("k").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("top"), F.max("m").alias("major"), F.sum("m").alias("m"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    sizes = sizes.select("k", "top", blocks(F.col("m") - F.col("major")).alias("minors"), blocks(F.col("major")).alias("majors"))
+    rows = skew.join(open_, sizes, {"bucket": "k"})
+    # blocks 0 .. minors - 1 hold the smaller components, the others the largest
+    rows = rows.withColumn("in_top", F.col("comp") == F.col("top"))
+    rows = rows.withColumn("mine", F.when(F.col("in_top"), F.col("minors") + F.pmod(F.xxhash64("doc"), "majors")).otherwise(F.pmod(F.xxhash64("doc"), "minors")).cast("int"))
+    # a row goes to the block pairs (i, j), i <= j, of which its block is one and i is a smaller one's
+    last = F.when(F.col("in_top"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
     dealt = rows.withColumn("p", F.explode(pairs)).select("bucket", "p.i", "p.j", "mine", "doc", "comp")
     sketched = dealt.join(sketches.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).select("bucket", "i", "j", "mine", "doc", "comp", "size", "sketch")
 

@@ -9,11 +9,11 @@ from . import storage
 #: Rows of a key from which on it is dealt over several tasks, and the most such keys (their list is sent to all tasks).
 HOT_ROWS, HOT_KEYS = 1_000, 20_000
 #: Rows that any one task can take, whatever their keys.
-FEW_ROWS = 4_096
+FEW_ROWS = 50_000
 
 
-def join(rows: DataFrame, other: DataFrame, keys: dict[str, str], how: str = "inner") -> DataFrame:
-    """rows join other on rows[k] = other[v], without the keys' columns of ``other``; ``rows`` should be a stored table.
+def join(rows: DataFrame, other: DataFrame, keys: dict[str, str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """rows join other on rows[k] = other[v], without the keys' columns of ``other``; ``rows`` (of which there are ``total``, if known) should be a stored table.
 
     Keys that hold more than HOT_ROWS of ``rows`` (or a share of 1 in HOT_KEYS, if that is more)
     are salted: their rows are dealt over as many salts as they hold such loads, and the rows of
@@ -23,7 +23,7 @@ def join(rows: DataFrame, other: DataFrame, keys: dict[str, str], how: str = "in
     """
     names = [f"_hot_k{i}" for i in range(len(keys))]
     other = other.withColumnsRenamed({v: n for n, v in zip(names, keys.values(), strict=True)})
-    total = rows.count()
+    total = rows.count() if total is None else total
     if total <= FEW_ROWS:
         return _without(rows.join(other, _equal(keys, names), how), names, how)
     least = max(HOT_ROWS, total // HOT_KEYS)
