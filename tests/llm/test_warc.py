@@ -38,6 +38,14 @@ def test_small_chunks_stream_and_split_characters(spark, tmp_path):
     assert run(spark, rows, tmp_path, chunk=7) == expected(rows)
 
 
+def test_payloads_over_the_registered_chunk(spark, tmp_path):
+    size = warc.CHUNK
+    rows = [(i, "é" * (n // 2) + "x" * (n % 2)) for i, n in enumerate([size - 1, size, size + 1, 2 * size, 2 * size + 1, 70 * size, 70 * size])]
+    assert run(spark, rows, tmp_path) == expected(rows)
+    chunks = warc.read(spark, f"file://{tmp_path}/a")
+    assert chunks.agg({"chunk": "max"}).first()[0] == 70 and chunks.selectExpr("max(octet_length(body)) AS n").first()["n"] == size
+
+
 def test_empty_table(spark, tmp_path):
     assert run(spark, [], tmp_path) == []
 
