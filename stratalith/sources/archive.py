@@ -15,7 +15,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.blake3 import blake3
 from ..shipping import ship
@@ -36,6 +36,7 @@ _EXTENT = "struct<block_id: long, offset: long, len: long, logical_offset: long>
 TABLES = {
     "blocks": "block_id long, header_offset long, payload_offset long, codec long, level int, dict_id long, raw_len long, comp_len long, payload_hash string, is_meta boolean, payload_ok boolean",
     "candidates": "scan_offset long, header_status string, bounds_status string, hash_status string, decompression_status string, verified boolean, reasons array<string>",
+    "records": "scan_offset long, raw_len long, json string",
     "footer": "version long, blocks_end long, dct_offset long, dct_len long, index_offset long, index_len long, ledger_offset long, ledger_len long, index_hash string",
     "dictionaries": "dict_id long, length long, hash string",
     "ledger": "json string, hash string",
@@ -286,8 +287,8 @@ def encode_block(raw: bytes, level: int = 3, dict_id: int = 0, dictionary: bytes
     return (_HEADER.pack(BLOCK, size, flags, ZSTD, level, dict_id, len(raw), len(payload)) + hashes).ljust(size, b"\0") + payload
 
 
-def encode(files: list[dict], profile: str = "full", level: int = 3, dictionaries: dict[int, bytes] | None = None, ledger=None) -> bytes:
-    """An archive of entries; ``data`` of a regular entry becomes one block. Entries are put in path order."""
+def encode(files: list[dict], profile: str = "full", level: int = 3, dictionaries: dict[int, bytes] | None = None, ledger=None, records: list[bytes] = ()) -> bytes:
+    """An archive of entries; ``data`` of a regular entry becomes one block, as does each metadata record. Entries are put in path order."""
     body, entries, number = [], [], 0
     for f in sorted(files, key=lambda f: f["entry_path"]):
         e = {**f, "extents": [], "size": len(f.get("data") or b"")}
@@ -296,6 +297,7 @@ def encode(files: list[dict], profile: str = "full", level: int = 3, dictionarie
             e["extents"] = [{"block_id": number, "offset": 0, "len": e["size"], "logical_offset": 0}]
             number += 1
         entries.append(e)
+    body += [encode_block(r, level, flags=PAYLOAD_HASH | RAW_HASH | META) for r in records]
     blocks = b"".join(body)
     end, frame = len(blocks), b""
     dct = index_at = ledger_at = 0
@@ -353,6 +355,14 @@ def rows(data: bytes, table: str) -> Iterator[dict]:
     if table == "candidates":
         yield from candidates(data)
         return
+    if table == "records":
+        # metadata blocks that verify, told apart by their schema; a scan needs no index
+        for c in candidates(data):
+            h = header(data, c["scan_offset"]) if c["header_status"] == "valid" else None
+            if c["verified"] and h["flags"] & META:
+                raw = decompress(h, data[c["scan_offset"] + h["header_len"] : c["scan_offset"] + h["header_len"] + h["comp_len"]])
+                yield {"scan_offset": c["scan_offset"], "raw_len": len(raw), "json": raw.decode()}
+        return
     parts = tail(data)
     f = parts["footer"]
     if table == "footer":
@@ -370,12 +380,12 @@ def rows(data: bytes, table: str) -> Iterator[dict]:
             yield h | {"payload_hash": h["payload_hash"] and h["payload_hash"].hex(), "is_meta": bool(h["flags"] & META), "payload_ok": blake3(body) == h["payload_hash"] if h["payload_hash"] else None}
 
 
-def read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of TABLES over all archives under a path, with the archive of each row; an unreadable archive fails the read."""
-    ship(spark)
+def parse(contents: DataFrame, table: str) -> DataFrame:
+    """A table of TABLES from rows (archive, content); an unreadable archive fails the query."""
+    ship(contents.sparkSession)
     names = [c.split(" ", 1)[0] for c in _split(TABLES[table])]
     schema = f"archive string, {TABLES[table]}"
-    kinds = spark.createDataFrame([], schema).toArrow().schema
+    kinds = contents.sparkSession.createDataFrame([], schema).toArrow().schema
 
     def f(batches):
         for batch in batches:
@@ -384,7 +394,96 @@ def read(spark: SparkSession, path: str, table: str) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_pylist(found, kinds)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(f, schema)
+    return contents.select(F.col("archive").cast("string").alias("archive"), "content").mapInArrow(f, schema)
+
+
+def discover(spark: SparkSession, path: str) -> DataFrame:
+    """archive, content, length of the files under a path that begin or end as archives do."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.where(is_archive(F.col("content"))).select(F.col("path").alias("archive"), "content", "length").orderBy("archive")
+
+
+def is_archive(content: Column) -> Column:
+    """A block's magic at the beginning, or a footer's where the footer is."""
+    return (F.substring(content, 1, 4) == F.lit(BLOCK)) | (F.substring(content, F.octet_length(content) - FOOTER_LENGTH + 1, F.lit(4)) == F.lit(FOOTER))
+
+
+def read(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of TABLES over all archives under a path, with the archive of each row; an unreadable archive fails the read."""
+    return parse(spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content"), table)
+
+
+def pack(files: DataFrame, by: str = "archive", records: DataFrame | None = None, dictionaries: dict[int, bytes] | None = None, ledger: bool = False) -> DataFrame:
+    """archive, content: one archive for each value of ``by`` from rows (entry_path, kind, data).
+
+    ``records`` (archive, json) become metadata blocks; with a ledger the file map is written too.
+    """
+    ship(files.sparkSession)
+    rows_ = files.select(F.col(by).alias("archive"), "entry_path", "kind", "data", F.lit(None).cast("string").alias("json"))
+    if records is not None:
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("entry_path", "string"), ("kind", "string"), ("data", "binary"))]
+        rows_ = rows_.unionByName(records.select("archive", *none, "json"))
+
+    def f(key, frame):
+        import pandas as pd
+
+        entries = frame[frame["kind"].notna()]
+        notes = sorted(x for x in frame["json"] if x is not None)
+        held = [{"entry_path": p, "kind": k, "data": d} for p, k, d in zip(entries["entry_path"], entries["kind"], entries["data"], strict=True)]
+        known = {"files": [{"path": e["entry_path"], "size": len(e["data"] or b"")} for e in sorted(held, key=lambda e: e["entry_path"]) if e["kind"] == "regular"]} if ledger else None
+        return pd.DataFrame({"archive": [str(key[0])], "content": [encode(held, dictionaries=dictionaries, ledger=known, records=[x.encode() for x in notes])]})
+
+    return rows_.groupBy("archive").applyInPandas(f, "archive string, content binary")
+
+
+def extracted(contents: DataFrame) -> DataFrame:
+    """archive, entry_path, size, sha256, verdict (safe or refused) of every regular file, by strict extraction."""
+    ship(contents.sparkSession)
+
+    def f(batches):
+        import hashlib
+
+        for batch in batches:
+            out = []
+            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                done, refused = extract(content.as_py())
+                out += [(archive, p, len(v), hashlib.sha256(v).hexdigest(), "safe") for p, v in done.items()] + [(archive, p, None, None, "refused") for p in refused]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["archive", "entry_path", "size", "sha256", "verdict"])
+
+    return contents.select("archive", "content").mapInArrow(f, "archive string, entry_path string, size long, sha256 string, verdict string")
+
+
+def read_range(data: bytes, path: str, offset: int, length: int) -> bytes:
+    """Bytes of a file, decoding only the blocks that the range touches."""
+    parts = tail(data)
+    entry = next((e for e in decode_index(parts["index"]) if e["entry_path"] == path and e["kind"] == "regular"), None)
+    check(entry is not None, f"{path} is no regular file")
+    end = min(offset + length, entry["size"])
+    touched = [x for x in entry["extents"] if x["logical_offset"] < end and x["logical_offset"] + x["len"] > offset]
+    blocks = {h["block_id"]: h for h in scan(data, parts["footer"]["blocks_end"])} if touched else {}
+    out = bytearray(max(0, end - offset))  # what no extent holds is a hole
+    for x in touched:
+        h = blocks[x["block_id"]]
+        raw = decompress(h, data[h["payload_offset"] : h["payload_offset"] + h["comp_len"]], parts["dictionaries"])
+        a, b = max(offset, x["logical_offset"]), min(end, x["logical_offset"] + x["len"])
+        at = x["offset"] + a - x["logical_offset"]
+        out[a - offset : b - offset] = raw[at : at + b - a]
+    return bytes(out)
+
+
+def ranges_of(contents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """archive, entry_path, offset, body of the wanted ranges (archive, entry_path, offset, length)."""
+    ship(contents.sparkSession)
+    asked = wanted.groupBy(F.col("archive").cast("string").alias("_a")).agg(F.collect_list(F.struct("entry_path", "offset", "length")).alias("asked"))
+
+    def f(batches):
+        for batch in batches:
+            out = [(archive, q["entry_path"], q["offset"], read_range(content.as_py(), q["entry_path"], q["offset"], q["length"])) for archive, content, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True) for q in asked]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["archive", "entry_path", "offset", "body"])
+
+    return contents.join(asked, F.col("archive") == F.col("_a")).select("archive", "content", "asked").mapInArrow(f, "archive string, entry_path string, offset long, body binary")
 
 
 def _split(schema: str) -> list[str]:
@@ -399,7 +498,7 @@ def _split(schema: str) -> list[str]:
 
 
 def write(files: DataFrame, folder: str, by: str = "archive") -> int:
-    """Write one archive for each value of ``by`` from rows (entry_path, kind, data) into a mounted folder; returns how many."""
+    """Write one archive for each value of ``by`` from rows (entry_path, kind, data) into a folder that all executors mount; returns how many."""
     ship(files.sparkSession)
 
     def f(key, frame):

@@ -22,6 +22,16 @@ def test_blake3_published_vectors():
     assert blake3(pattern(1025)).hex() == "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444"
 
 
+def test_blake3_side_by_side_equals_block_by_block():
+    import struct as st
+
+    from stratalith.functions import blake3 as module
+
+    pattern = bytes(i * 7 % 251 for i in range(40_000))
+    for n in (1025, 2048, 2049, 3072, 3073, 5000, 9 * 1024, 16 * 1024 + 1, 31_744, 40_000):
+        assert module._many(pattern[:n]) == st.pack("<8I", *module._node(pattern[:n], 0, 8)), n
+
+
 def test_round_trip_and_refusal():
     data = a.encode(FILES, dictionaries={5: b"dict"}, ledger={"b": 1, "a": [2, {"d": 1, "c": 2}]})
     done, refused = a.extract(data)
