@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import archive_queries, catalog_queries, content_queries, integrity_queries, lab_queries, more_queries, planner_queries, salvage_queries  # noqa: F401
+    from . import archive_queries, catalog_queries, content_queries, experiment_queries, integrity_queries, lab_queries, more_queries, planner_queries, salvage_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
