@@ -93,6 +93,12 @@ def k7(spark, d):
     return ar.extracted(archives(spark, d))
 
 
+@query("h6_verified_blocks", f"SELECT archive, CAST(ROW_NUMBER() OVER (PARTITION BY archive ORDER BY entry_path) - 1 AS BIGINT) AS block_id, strlen(body) AS raw_len, sha256(body) AS sha256 FROM ({_E}) WHERE body IS NOT NULL")
+def h6(spark, d):
+    """Blocks that verify, decoded for export."""
+    return ar.parse(archives(spark, d), "verified")
+
+
 @query("s17_ranges", f"SELECT archive, entry_path, CAST(3 AS BIGINT) AS offset_, substr(body, 4, 6) AS body FROM ({_E}) WHERE body IS NOT NULL")
 def s17(spark, d):
     """Random access: bytes 3 to 8 of every file, from the blocks that hold them."""

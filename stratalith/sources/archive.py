@@ -10,6 +10,7 @@ the candidate scan never raises.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ _EXTENT = "struct<block_id: long, offset: long, len: long, logical_offset: long>
 TABLES = {
     "blocks": "block_id long, header_offset long, payload_offset long, codec long, level int, dict_id long, raw_len long, comp_len long, payload_hash string, is_meta boolean, payload_ok boolean",
     "candidates": "scan_offset long, header_status string, bounds_status string, hash_status string, decompression_status string, verified boolean, reasons array<string>",
+    "verified": "block_id long, raw_len long, sha256 string",
     "records": "scan_offset long, raw_len long, json string",
     "footer": "version long, blocks_end long, dct_offset long, dct_len long, index_offset long, index_len long, ledger_offset long, ledger_len long, index_hash string",
     "dictionaries": "dict_id long, length long, hash string",
@@ -374,6 +376,12 @@ def rows(data: bytes, table: str) -> Iterator[dict]:
             yield {"json": parts["ledger"].decode(), "hash": f["ledger_hash"].hex()}
     elif table == "entries":
         yield from decode_index(parts["index"])
+    elif table == "verified":
+        # what can be exported: the raw bytes of blocks whose payload is the one that was hashed
+        for h in scan(data, f["blocks_end"]):
+            body = data[h["payload_offset"] : h["payload_offset"] + h["comp_len"]]
+            if h["payload_hash"] and blake3(body) == h["payload_hash"]:
+                yield {"block_id": h["block_id"], "raw_len": h["raw_len"], "sha256": hashlib.sha256(decompress(h, body, parts["dictionaries"])).hexdigest()}
     else:
         for h in scan(data, f["blocks_end"]):
             body = data[h["payload_offset"] : h["payload_offset"] + h["comp_len"]]
@@ -441,8 +449,6 @@ def extracted(contents: DataFrame) -> DataFrame:
     ship(contents.sparkSession)
 
     def f(batches):
-        import hashlib
-
         for batch in batches:
             out = []
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
