@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _done:
         return
     top = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder) / f"{top.name}.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
