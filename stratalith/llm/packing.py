@@ -20,6 +20,7 @@ stand. Extra columns are ignored. An empty table gives an empty table.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,16 @@ def _parts(data: np.ndarray, words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(np.concatenate([words.starts, cut])), np.sort(np.concatenate([words.ends, cut]))
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """One tokenizer a process: what a dropped one has cached is not given back (some 33 MB each)."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return tokenizer
+
+
 class Encoder:
     """Token ids of slices of texts, with the ids of known word parts kept; white space parts words.
 
@@ -66,10 +77,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = _tokenizer(path)
         self.limit = cache
         self._clear()
 
@@ -140,7 +148,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)), np.int64, len(rows))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    # an encoder lives as long as its task: reused workers keep nothing of it
+    # an encoder's ids live as long as its task; reused workers keep the tokenizer
     return tk.map_texts(docs, "doc_id long, piece int, start long, length long, ids_crc32 long", f, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")], lambda: Encoder(path))
 
 
