@@ -111,9 +111,12 @@ def a8(spark, d):
     return op.index_summary(_files(spark, d), frame(spark, d, "extents"))
 
 
-@query("a9_codecs", duck("SELECT 'mixed (' || string_agg(codec, ', ' ORDER BY codec) || ')' AS codec FROM (SELECT DISTINCT codec FROM blocks)"))
+@query("a9_codecs", duck("SELECT 'all' AS blocks, 'mixed (' || string_agg(DISTINCT codec, ', ' ORDER BY codec) || ')' AS codec FROM blocks UNION ALL SELECT 'store', 'store' UNION ALL SELECT 'no', 'none'"))
 def a9(spark, d):
-    return op.distinct_or_mixed(frame(spark, d, "blocks"), "codec")
+    """The distinct codecs of all blocks, of those of one codec, and of none."""
+    b = frame(spark, d, "blocks")
+    of = lambda name, rows: op.distinct_or_mixed(rows, "codec").select(F.lit(name).alias("blocks"), "codec")
+    return of("all", b).unionByName(of("store", b.where("codec = 'store'"))).unionByName(of("no", b.where("codec = 'no such codec'")))
 
 
 @query("a29_compression_metrics", duck("SELECT codec, CAST(SUM(raw_len) AS BIGINT) AS raw, CAST(SUM(comp_len) AS BIGINT) AS comp, round(SUM(raw_len)::DOUBLE / SUM(comp_len), 6) AS ratio, round(100 * (1 - SUM(comp_len)::DOUBLE / SUM(raw_len)), 6) AS reduction FROM blocks GROUP BY codec"))

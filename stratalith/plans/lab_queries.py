@@ -302,9 +302,11 @@ def a13(spark, d):
     return op.outcome_pivot(e, "profile", "outcome")
 
 
-@query("f16_profile_keys", duck("SELECT archive_id, upper(regexp_extract(lower(archive_path), '_profile_([^._\\-]+)', 1)) AS profile FROM experiments"))
+@query("f16_profile_keys", duck("SELECT archive_id, CASE WHEN archive_id % 5 = 4 THEN 'UNKNOWN_PROFILE' ELSE upper(regexp_extract(lower(archive_path), '_profile_([^._\\-]+)', 1)) END AS profile FROM experiments"))
 def f16(spark, d):
-    return frame(spark, d, "experiments").select("archive_id", op.profile_key(F.col("archive_path")).alias("profile"))
+    """Keys after each of the four markers, and where there is none."""
+    path = F.expr("CASE archive_id % 5 WHEN 0 THEN archive_path WHEN 1 THEN replace(archive_path, '_profile_', '-profile-') WHEN 2 THEN replace(archive_path, '_profile_', '_damage_') WHEN 3 THEN replace(archive_path, '_profile_', '-damage-') ELSE replace(archive_path, '_profile_', '_') END")
+    return frame(spark, d, "experiments").select("archive_id", op.profile_key(path).alias("profile"))
 
 
 @query("a14_experiment_totals", duck(f"SELECT COUNT(*) AS runs, COUNT(*) FILTER (verified_block_count > 0) AS with_blocks, COUNT(*) FILTER (salvageable_file_count > 0) AS with_files, COUNT(*) FILTER (exported_full_file_count > 0) AS with_full, {', '.join(f'CAST(SUM({c}) AS BIGINT) AS {c}' for c in _SUMS)} FROM experiments"))
@@ -450,5 +452,5 @@ def j17(spark, d):
 
 @query("f15_logical_keys", duck("SELECT file_id, path AS logical FROM files"))
 def f15(spark, d):
-    named = frame(spark, d, "files").withColumn("path", F.concat("path", F.when(F.col("file_id") % 2 == 0, "__frag_007").otherwise("")))
+    named = frame(spark, d, "files").withColumn("path", F.concat("path", F.when(F.col("file_id") % 3 == 0, "__frag_007").when(F.col("file_id") % 3 == 1, "_fragment_12").otherwise("")))
     return named.select("file_id", op.logical_key(F.col("path")).alias("logical"))

@@ -317,6 +317,23 @@ def encode(files: list[dict], profile: str = "full", level: int = 3, dictionarie
     return blocks + frame + head + blake3(head)
 
 
+def train_dictionaries(samples: DataFrame, by: str, most: int = 512, sample_bytes: int = 4096, size: int = 16_384) -> DataFrame:
+    """by, samples, dictionary: a compression dictionary of each cohort from its first samples (by, place from 1, body); null where they are too few."""
+
+    def f(key, frame):
+        import pandas as pd
+        import zstandard
+
+        bodies = [bytes(b)[:sample_bytes] for b in frame.sort_values("place")["body"]]
+        try:
+            trained = zstandard.train_dictionary(size, bodies).as_bytes()
+        except zstandard.ZstdError:
+            trained = None
+        return pd.DataFrame({"cohort": [str(key[0])], "samples": [len(bodies)], "dictionary": [trained]})
+
+    return samples.where(F.col("place") <= most).groupBy(by).applyInPandas(f, "cohort string, samples long, dictionary binary")
+
+
 def extract(data: bytes) -> tuple[dict[str, bytes], list[str]]:
     """Strict extraction: the files whose blocks all verify, and the paths refused. Each block is decoded once."""
     parts = tail(data)

@@ -44,6 +44,16 @@ def test_discovery_and_ranges(spark, tmp_path):
     assert archive.read_range(data, "e.txt", 0, 5) == b""
 
 
+def test_trained_dictionaries_compress(spark):
+    import zstandard
+
+    rows = [("words", i, f"a sample of words number {i} with common words in every sample {i % 7}".encode()) for i in range(1, 400)] + [("few", 1, b"x")]
+    got = {r["cohort"]: r for r in archive.train_dictionaries(spark.createDataFrame(rows, "kind string, place int, body binary"), "kind", most=300, size=2048).collect()}
+    assert got["words"]["samples"] == 300 and got["few"]["dictionary"] is None
+    with_it = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(bytes(got["words"]["dictionary"])))
+    assert len(with_it.compress(rows[350][2])) < len(zstandard.ZstdCompressor().compress(rows[350][2]))
+
+
 def test_mutations_on_short_archives(spark):
     cases = [(str(n), kind, target, m, 1337, bytes(range(n))) for n in (0, 1, 2, 7, 40) for kind in ("bit_flip", "byte_overwrite", "zero_fill", "truncation", "tail_damage") for target in ("header", "index", "payload", "tail") for m in (1, 256)]
     rows = spark.createDataFrame([(f"{c[0]}/{c[1]}/{c[2]}/{c[3]}", *c[1:]) for c in cases], "name string, corruption_type string, target string, magnitude_bytes int, seed int, content binary")
