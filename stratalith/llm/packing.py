@@ -19,6 +19,7 @@ stand. Extra columns are ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
@@ -62,7 +63,11 @@ def _parts(data: np.ndarray, words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
-    """One tokenizer a process: what a dropped one has cached is not given back (some 33 MB each)."""
+    """One tokenizer a process: what a dropped one has cached is not given back (some 33 MB each).
+
+    It runs without threads of its own: a task has a core, and threads on words cost twice the CPU time.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
