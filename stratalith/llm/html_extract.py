@@ -47,7 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import storage, textkit as tk
+from . import skew, storage, textkit as tk
 
 #: Least pages of a host with a template, and the share of them in which a class stands.
 MIN_PAGES, SUPPORT = 4, 0.6
@@ -464,7 +464,7 @@ def templates(pages: DataFrame) -> DataFrame:
     stored = storage.store(total, "tokens")
     sizes = stored.where("token = -1").where(F.col("pages") >= MIN_PAGES).select(F.col("host").alias("_h"), F.col("pages").alias("total"))
     # tokens with support are at most as many as a page has, over SUPPORT
-    kept = stored.where("token <> -1").join(sizes, F.col("host") == F.col("_h")).where(F.col("pages") >= SUPPORT * F.col("total"))
+    kept = skew.join(stored.where("token <> -1"), sizes, {"host": "_h"}).where(F.col("pages") >= SUPPORT * F.col("total"))
     grouped = kept.groupBy("host", "total").agg(F.collect_list(F.struct("token", *names[2:])).alias("rows"))
 
     def build(batches):
@@ -500,7 +500,7 @@ class Sent:
         """page_id, url, host, main, classes, html."""
         if self.known is not None:
             return rows.select("page_id", "url", "host", F.lit(None).cast("long").alias("main"), F.lit(None).cast("array<array<long>>").alias("classes"), "html")
-        return rows.join(learned.withColumnRenamed("host", "_h"), F.col("host") == F.col("_h"), "left").select("page_id", "url", "host", "main", "classes", "html")
+        return skew.join(rows, learned.withColumnRenamed("host", "_h"), {"host": "_h"}, "left").select("page_id", "url", "host", "main", "classes", "html")
 
 
 def checked(rows: DataFrame, learned: DataFrame) -> DataFrame:

@@ -415,11 +415,11 @@ def _exhausted(docs: DataFrame, open_: DataFrame, sketches: DataFrame, words: in
             yield out()
 
     schema = "bucket long, i int, j int, mine int, doc long, comp long"
-    left = sketched.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc").mapInArrow(filter_, schema)
+    left = sketched.repartition(storage.wide(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc").mapInArrow(filter_, schema)
     left = storage.store(left, "left")
     sets = _sets(docs, left.select("doc").distinct(), words)
     full = left.join(sets.select(F.col("doc").alias("_d"), "grams"), F.col("doc") == F.col("_d")).select("bucket", "i", "j", "mine", "doc", "comp", "grams")
-    ordered = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
+    ordered = full.repartition(storage.wide(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
 
     def f(batches):
         group, key = [], None

@@ -23,11 +23,21 @@ BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the workers and bound the batches that they are handed."""
+    """Ship the package to the workers, bound the batches that they are handed, and let small results be few files.
+
+    Partitions are merged up to the advisory size instead of down to the number of cores: the
+    many small tables of a join would else be a file and a task for every core.
+    """
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+
+
+def wide(spark: SparkSession) -> int:
+    """Partitions for stages whose work is large against their bytes: they should not be merged."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_folder(spark: SparkSession) -> str:
