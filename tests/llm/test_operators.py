@@ -392,6 +392,17 @@ def test_generated_hosts_without_articles(spark):
     assert all("\n\n".join(html_extract.blocks(parser, t, None, frozenset())) != want[i] for i, _, t in rows)
 
 
+def test_many_templates_are_joined_to_the_pages(spark, monkeypatch):
+    from stratalith.llm import skew
+
+    rows, want = generated_hosts(random.Random(4), 6)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    monkeypatch.setattr(html_extract, "MOST_SENT", 2)
+    monkeypatch.setattr(skew, "FEW_ROWS", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == want
+
+
 def test_tokens_out_of_order_are_no_template(spark):
     one, two = "<h2>North wind</h2>", "<h3>South sea</h3>"
     rows = [(i, "http://o.example/", f"<html><body><div>{two + one if i % 2 else one + two}<p>Page number {i}</p><p>Told {i} so</p></div></body></html>") for i in range(8)]
