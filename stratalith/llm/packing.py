@@ -131,6 +131,12 @@ class Encoder:
         return out, bounds
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder a process: parts that an earlier task has learned need not be learned again."""
+    return Encoder(path)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -153,8 +159,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)), np.int64, len(rows))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    # an encoder's ids live as long as its task; reused workers keep the tokenizer
-    return tk.map_texts(docs, "doc_id long, piece int, start long, length long, ids_crc32 long", f, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")], lambda: Encoder(path))
+    return tk.map_texts(docs, "doc_id long, piece int, start long, length long, ids_crc32 long", f, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")], lambda: _encoder(path))
 
 
 class CapacityTree:
