@@ -506,4 +506,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     at = f"c{names.index('doc_id')}"
     rows = numbered.select(F.col(at).alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"))
     gone = join(rows, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone  # texts are not shuffled for a list that can be sent
     return numbered.join(gone, F.col(at).cast("long") == F.col("gone"), "left_anti").toDF(*names)
