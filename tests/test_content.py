@@ -32,6 +32,6 @@ def agrees(spark, folder, name):
     assert len(want) == len(TEXTS) + 1 and sorted(map(tuple, got.collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["f22_content_kinds", "f22_html_first"])
+@pytest.mark.parametrize("name", ["f22_content_kinds", "f22_html_first", "f24_assigned_names"])
 def test_kinds_equal_sql(spark, tmp_path, name):
     agrees(spark, tmp_path, name)
