@@ -82,3 +82,21 @@ def test_spark_tables(spark, tmp_path):
     assert a.read(spark, f"file://{tmp_path}", "candidates").where("verified").count() == 2
     assert a.read(spark, f"file://{tmp_path}", "footer").count() == 2
     assert a.read(spark, f"file://{tmp_path}", "ledger").count() == 0
+
+
+def test_ranges_parse_an_archive_once(spark, monkeypatch):
+    files = [(str(i % 2), f"f{i:02}", "regular", bytes(range(i, i + 40))) for i in range(60)] + [("0", "f00/", "directory", None), ("1", "empty", "regular", b"")]
+    packed = a.pack(spark.createDataFrame(files, "archive string, entry_path string, kind string, data binary"))
+    asked = [(x, p, at, n) for x, p, k, _ in files if k == "regular" for at, n in ((0, 1), (3, 6), (38, 9), (99, 1), (0, 0))]
+    want = {(x, p, at, n): dict((f[1], f[3]) for f in files)[p][at : at + n] for x, p, at, n in asked}
+    got = a.ranges_of(packed, spark.createDataFrame(asked, "archive string, entry_path string, offset long, length long")).collect()
+    assert sorted((r["archive"], r["entry_path"], r["offset"], bytes(r["body"])) for r in got) == sorted((x, p, at, body) for (x, p, at, _), body in want.items())
+
+    calls = {"tail": 0, "decode_index": 0, "scan": 0}
+    for name in calls:
+        monkeypatch.setattr(a, name, lambda *args, f=getattr(a, name), name=name: calls.__setitem__(name, calls[name] + 1) or f(*args))
+    opened = a.Ranges(a.encode([{"entry_path": p, "kind": k, "data": d} for x, p, k, d in files if x == "0"]))
+    assert all(opened.read(p, at, n) == body for (x, p, at, n), body in want.items() if x == "0")
+    assert calls == {"tail": 1, "decode_index": 1, "scan": 1}
+    with pytest.raises(ValueError):
+        opened.read("f00/", 0, 1)
