@@ -105,6 +105,43 @@ def is_json(text: Column) -> Column:
     return F.coalesce((F.size(element) == 1) & (F.size(member) == 1) & ~lone, F.lit(False))
 
 
+# White space of JSON.
+_SPACE = " \t\n\r"
+#: Every valid escape of a JSON string; of surrogates only pairs.
+_VALID_ESCAPES = r'\\(?:["\\/bfnrt]|u(?![dD][89a-fA-F])[0-9a-fA-F]{4}|u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})'
+
+
+def is_loose_json(text: Column) -> Column:
+    """Whether DuckDB's ``json_valid`` takes the text; never null.
+
+    That is JSON, of any depth, that may hold NaN and Infinity (in any case, Infinity also as
+    inf) and one comma before a closing bracket. The text is brought to strict JSON with its strings
+    emptied, which keeps invalid texts invalid. It must then end where a value of an object and
+    an element of an array end, as in `is_json`; it is skipped there, so no depth is too much.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, _VALID_ESCAPES, "x"), r'"[^"\\\x00-\x1F]*+"', '""')
+    bare = F.regexp_replace(bare, r"(?i)-?(?:nan|inf(?:inity)?)", "null")
+    # a comma right after an opening bracket stays, as an error
+    bare = F.regexp_replace(bare, r"([\[{][ \t\n\r]*+,)|,(?=[ \t\n\r]*+[\]}])", "$1")
+    ends = lambda before, after: F.from_json(F.concat(F.lit('{"v":' + before), bare, F.lit(after + ',"w":1}')), "w int", _JSON)["w"] == 1
+    # most texts are no JSON by their first characters
+    begins = F.substring(F.ltrim(text, F.lit(_SPACE)), 1, 5).rlike(r'^(?:[\[{"0-9-]|true|false|null|(?i:nan|inf))')
+    return F.when(begins, F.coalesce(ends("", "") & ends("[", "]") & ~bare.contains("\\"), F.lit(False))).otherwise(F.lit(False))
+
+
+def classify_text(text: Column, html_first: bool = False) -> Column:
+    """struct(kind, confidence) of a text: the rules of `classify` less the signatures of binary formats, which words begin with too (BM, ID3).
+
+    White space before markup is a space, tab or line end; JSON is loose.
+    """
+    is_ = lambda kind, confidence: F.struct(F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"))
+    trimmed, low = F.ltrim(text, F.lit(_SPACE)), F.lower(text)
+    markup = [(trimmed.startswith("<?xml") | (trimmed.startswith("<") & text.contains("</")), is_("xml", "medium")), (low.contains("<html") | low.contains("<!doctype html"), is_("html", "medium"))]
+    rules = [(text.contains("MANIFEST-"), is_("leveldb", "medium")), *(markup[::-1] if html_first else markup)]
+    rules += [(is_loose_json(text), is_("json", "high")), (printable(text.cast("binary")) * 100 >= 90 * F.octet_length(text), is_("text", "medium"))]
+    return reduce(lambda a, r: a.when(*r), rules, F.when(text == "", is_("bin", "low"))).otherwise(is_("bin", "low"))
+
+
 def printable(data: Column) -> Column:
     """Bytes that are printable ASCII, line feed, carriage return or tab; bytes are read as Latin-1."""
     return F.length(F.regexp_replace(F.decode(data, "ISO-8859-1"), r"[^\n\r\t\x20-\x7E]", ""))

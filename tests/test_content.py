@@ -35,3 +35,23 @@ def agrees(spark, folder, name):
 @pytest.mark.parametrize("name", ["f22_content_kinds", "f22_html_first", "f24_assigned_names"])
 def test_kinds_equal_sql(spark, tmp_path, name):
     agrees(spark, tmp_path, name)
+
+
+# texts on which the reference's classifier and the SQL part: JSON that only DuckDB takes, odd white space, signatures of binary formats
+ODD = ["NaN", "-nan", "inf", " -Infinity\n", "iNf", "[1,]", '{"a":1 ,\n}', '["a,]", [NaN,], {"k":-inf,},]', "[" * 3000 + "]" * 3000, '{"a":' * 2000 + "1" + "}" * 2000,
+    "[,]", "{ , }", "[1,,]", '{"a":,}', "1,", "nano", "1nan", "+inf", "{NaN:1}", '"[1,]', '["a\\q",]', '["a\nb",]', '["\\ud83d",]', '["\\u0041\\"",]', '"\\\\",', "1,2,", '1,"w":1', '1,"w":1}', '1],"w":1,"v":[2', "[1,}", "\\n1", '"\\n"', "\x00", "1\x00",
+    "\x0b<a></a>", "\x0c<?xml", "\r\n\t <a></a>", " <a></a>", "BMW", "ID3 tag", "%PDF-1", "BM<html", "PK\x03\x04", "II*\x00", "RIFF0000WAVE", "a" * 257 + "ustar" + "a" * 9, "<a>MANIFEST-</a>", "<html></html>", "é" + "a" * 17, "é" + "a" * 18]
+
+
+@pytest.mark.parametrize("name", ["f22_html_first"])
+def test_odd_texts_equal_sql(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setitem(globals(), "TEXTS", ODD)
+    agrees(spark, tmp_path, name)
+
+
+def test_loose_json(spark):
+    texts = [*TEXTS, *ODD, '["' + "\\n" * 300000 + '",]', "[" + "1," * 300000 + "]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = dict(rows.select("t", content.is_loose_json(F.col("t"))).collect())
+    assert got == dict(duckdb.connect().execute("SELECT t, json_valid(t) FROM (SELECT unnest(?) AS t)", [texts]).fetchall())
+    assert not spark.range(1).select(content.is_loose_json(F.lit(None).cast("string"))).first()[0]
