@@ -148,9 +148,9 @@ def printable(data: Column) -> Column:
 
 
 def assigned_name(number: Column, kind: Column, confidence: Column) -> Column:
-    """Deterministic names: the extension only at high confidence, a guess at medium, none at low."""
+    """Deterministic names: the extension only at high confidence, a guess at medium, none at low; null without a number."""
     ext = F.create_map(*(x for k, e in {k: e for _, k, e, _ in MAGIC}.items() for x in (F.lit(k), F.lit(e))))
-    stem = F.format_string("file_%06d", number)
+    stem = F.when(number.isNotNull(), F.format_string("file_%06d", number))
     return F.when(confidence == "high", F.concat(stem, F.lit("."), F.coalesce(F.try_element_at(ext, kind), kind))).when(confidence == "medium", F.concat(stem, F.lit(".probable-"), kind, F.lit(".bin"))).otherwise(F.concat(stem, F.lit(".bin")))
 
 

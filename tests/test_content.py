@@ -43,7 +43,7 @@ ODD = ["NaN", "-nan", "inf", " -Infinity\n", "iNf", "[1,]", '{"a":1 ,\n}', '["a,
     "\x0b<a></a>", "\x0c<?xml", "\r\n\t <a></a>", " <a></a>", "BMW", "ID3 tag", "%PDF-1", "BM<html", "PK\x03\x04", "II*\x00", "RIFF0000WAVE", "a" * 257 + "ustar" + "a" * 9, "<a>MANIFEST-</a>", "<html></html>", "é" + "a" * 17, "é" + "a" * 18]
 
 
-@pytest.mark.parametrize("name", ["f22_html_first"])
+@pytest.mark.parametrize("name", ["f22_html_first", "f24_assigned_names"])
 def test_odd_texts_equal_sql(spark, tmp_path, monkeypatch, name):
     monkeypatch.setitem(globals(), "TEXTS", ODD)
     agrees(spark, tmp_path, name)
@@ -55,3 +55,9 @@ def test_loose_json(spark):
     got = dict(rows.select("t", content.is_loose_json(F.col("t"))).collect())
     assert got == dict(duckdb.connect().execute("SELECT t, json_valid(t) FROM (SELECT unnest(?) AS t)", [texts]).fetchall())
     assert not spark.range(1).select(content.is_loose_json(F.lit(None).cast("string"))).first()[0]
+
+
+def test_assigned_names(spark):
+    """Signatures still give extensions; no number gives no name."""
+    rows = spark.createDataFrame([(7, b"BM\x00"), (1234567, b"\x89PNG\r\n\x1a\n"), (None, b"{}")], "n long, data binary").withColumn("c", content.classify(F.col("data")))
+    assert [r[0] for r in rows.select(content.assigned_name(F.col("n"), F.col("c.kind"), F.col("c.confidence"))).collect()] == ["file_000007.bmp", "file_1234567.png", None]
